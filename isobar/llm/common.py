@@ -83,3 +83,77 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, spread
         dealt.withColumn("__row", within).join(starts, [*by, "__chunk"])
         .withColumn(name, F.col("__start") + F.col("__row") - 1).drop("__chunk", "__start", "__row")
     )
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches that stay small when texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, label): the smallest node that each node of edges(u, v) is linked with.
+
+    Each round takes the smallest label among neighbours and then that label's own label, so a chain shortens by
+    half or more; its table is written to the shared folder. Minima are combined before any shuffle.
+    """
+    spark = edges.sparkSession
+    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
+    path = scratch(spark, f"{name}-0")
+    both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select(
+        "node", F.least("node", "least").alias("label"), F.lit(True).alias("moved")
+    ).write.parquet(path)
+    turn = 0
+    while True:
+        labels = spark.read.parquet(path)
+        if not labels.filter("moved").head(1):
+            return labels.select("node", "label")
+        turn += 1
+        plain = labels.select("node", "label")
+        near = both.join(plain.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
+        low = plain.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = plain.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        after = low.join(jump, "mid").select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") < F.col("old")).alias("moved"))
+        new = scratch(spark, f"{name}-{turn}")
+        after.write.parquet(new)
+        drop_path(spark, path)
+        path = new
+
+
+def add_columns(docs: DataFrame, compute, added: dict[str, str], drop: tuple[str, ...] = (), text_col: str = "text", least_bytes: int = 0) -> DataFrame:
+    """docs, less `drop`, with the columns `added` (name: SQL type) that compute(pyarrow table) gives as {name: values}.
+
+    Other columns pass as Arrow data, untouched. Batches are put together until their texts have least_bytes.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(docs.sparkSession)
+    new = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in added.items()))
+    kept = [f for f in docs.schema.fields if f.name not in drop]
+    schema = StructType(kept + new.fields)
+    types = to_arrow_schema(new)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index(text_col)).nbytes
+            if size >= least_bytes:
+                yield from done(held)
+                held, size = [], 0
+        if held:
+            yield from done(held)
+
+    def done(held):
+        rows = pa.Table.from_batches(held)
+        if rows.num_rows:
+            values = compute(rows)
+            rows = rows.select([f.name for f in kept])
+            for f in types:
+                v = values[f.name]
+                rows = rows.append_column(f.name, v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, f.type))
+            yield from rows.combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, schema)

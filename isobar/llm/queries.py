@@ -1,11 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .decontaminate import op10_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .packing import op6_packing
 from .sharding import op4_sharding
+from .simhash import op7_simhash
+from .token_files import op8_token_files
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
+    "op7_simhash": op7_simhash,
+    "op8_token_files": op8_token_files,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL = {"op2_exact_dedup": OP2_SQL}
