@@ -157,3 +157,30 @@ def add_columns(docs: DataFrame, compute, added: dict[str, str], drop: tuple[str
             yield from rows.combine_chunks().to_batches()
 
     return docs.mapInArrow(run, schema)
+
+
+BLOOM_WORDS = 1 << 19
+
+
+def bloom_words(keys: DataFrame, key: str, words: int = BLOOM_WORDS) -> DataFrame:
+    """(word, bits) of a Bloom filter of hashed keys: at most `words` rows, whatever the number of keys."""
+    at = keys.select(F.pmod(F.col(key), F.lit(words * 64)).alias("slot"))
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    return at.groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def bloom_probe(rows: DataFrame, filter_words: DataFrame, key: str, words: int = BLOOM_WORDS, keep: bool = False) -> DataFrame:
+    """The rows whose key may be in the filter; with keep all rows and __maybe. No row is moved."""
+    slot = F.pmod(F.col(key), F.lit(words * 64))
+    hit = rows.join(F.broadcast(filter_words), F.shiftright(slot, 6) == F.col("__word"), "left")
+    maybe = F.coalesce(F.col("__bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))) != 0, F.lit(False))
+    hit = hit.withColumn("__maybe", maybe).drop("__word", "__bits")
+    return hit if keep else hit.filter("__maybe").drop("__maybe")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that are written out by now."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

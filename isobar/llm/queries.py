@@ -5,6 +5,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .packing import op6_packing
 from .sharding import op4_sharding
 from .simhash import op7_simhash
+from .substring_dedup import op9_substring_dedup
 from .token_files import op8_token_files
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op8_token_files": op8_token_files,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
