@@ -52,16 +52,17 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, most: int = 10_000) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, n_rows: int, most: int = 10_000) -> DataFrame:
     """Left-joins groups (one row per key, `size` rows of `rows` each) to rows.
 
     Groups of at least n_rows / most rows number at most `most`: they are broadcast, so that a group
     with a third of all rows is never gathered in one task. All others meet in a shuffled join.
     """
     hot = F.col(size) >= max(1000, -(-n_rows // most))
+    by = [key] if isinstance(key, str) else key
     large = F.broadcast(groups.filter(hot))
-    rest = rows.join(F.broadcast(groups.filter(hot).select(key)), key, "left_anti")
-    return rows.join(large, key).unionByName(rest.join(groups.filter(~hot), key, "left"))
+    rest = rows.join(F.broadcast(groups.filter(hot).select(by)), by, "left_anti")
+    return rows.join(large, by).unionByName(rest.join(groups.filter(~hot), by, "left"))
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, spread: str, n_rows: int, per_chunk: int = 100_000) -> DataFrame:
