@@ -8,6 +8,7 @@ tokenizer, is encoded whole, so the ids are always those of the whole text.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 from itertools import chain
@@ -15,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Words of one worker's dictionary, some 170 bytes each; when full it starts anew.
-MOST_WORDS = 900_000
+MOST_WORDS = 1_500_000
 STOPS = ".,;:!?"
 #: White space of str.split() that the tokenizers' patterns do not take for such.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -26,6 +27,7 @@ class Encoder:
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 50, 100)  # the dictionary has no cycles to look for
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -68,7 +70,7 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         spaced = self.kind == "spaced"
         stopped = [w for w in new if w[-1:] in STOPS and w[-2:-1].isalpha()]
-        new = (new - set(stopped)) | ({w[:-1] for w in stopped} - self.known.keys())
+        new = (new - set(stopped)) | {c for c in [w[:-1] for w in stopped] if c not in self.known}
         plain, other, alone = [], [], []
         for w in new:
             if w.isalpha():
@@ -114,8 +116,8 @@ class Encoder:
             split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if t else [] for t in texts]
         else:
             split = [t.split() for t in texts]
-        new = set(chain.from_iterable(split))
-        new -= self.known.keys()
+        known = self.known
+        new = {w for w in set(chain.from_iterable(split)) if w not in known}
         if new:
             self._learn(new)
         get, out, odd = self.known.__getitem__, [], []
