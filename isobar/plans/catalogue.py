@@ -1,4 +1,8 @@
 """The queries of this library and the SQL that they must agree with."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import models, relations, scenarios, series
+
+QUERIES: dict = series.QUERIES | relations.QUERIES | scenarios.QUERIES | models.QUERIES
+SQL: dict = series.SQL | relations.SQL | scenarios.SQL
