@@ -17,9 +17,9 @@ def cluster_bootstrap(clusters: DataFrame, number: str, sums: list[str], draws:
 
     draws * n rows for n clusters; the rows under the clusters are aggregated once and never resampled.
     """
-    n = clusters.agg(F.count("*").alias("n"))
-    slots = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("slot"))
-    picked = slots.withColumn(number, F.floor(hashed_uniform(F.col("draw"), F.col("slot")) * F.col("n")).cast("long"))
+    n = clusters.agg(F.count("*").alias("__n"))
+    slots = n.select("__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("__n", "draw", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("slot"))
+    picked = slots.withColumn(number, F.floor(hashed_uniform(F.col("draw"), F.col("slot")) * F.col("__n")).cast("long"))
     drawn = picked.join(F.broadcast(clusters), number).groupBy("draw").agg(*[F.sum(s).alias(s) for s in sums])
     return drawn.select(F.col("draw").cast("long").alias("draw"), statistic.alias("stat"))
 

@@ -1,3 +1,79 @@
 """Queries on models and streams; checked by their rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import ml
+from ..streaming import streams
+from .base import r, table
+
+FEATURES = ["quantity", "size", "discount", "tax"]
+
+
+def _rows(spark, sf):
+    x, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    j = x.join(p, x.l_partkey == p.p_partkey)
+    return j.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").alias("quantity"),
+        F.col("p_size").cast("double").alias("size"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_extendedprice") / 1000).alias("price"),
+    )
+
+
+def _halves(spark, sf):
+    rows = _rows(spark, sf)
+    return rows.filter("pmod(row_id, 5) > 0"), rows.filter("pmod(row_id, 5) = 0")
+
+
+def _named(df, *keys):
+    return df.select(*keys, "n", *[r(k).alias(k) for k in ("rmse", "mae", "r2")])
+
+
+def regressors(spark, sf):
+    return _named(ml.compared(*_halves(spark, sf), ["linear", "ridge", "tree", "forest", "boosted"], FEATURES, "price"), "model")
+
+
+def ablation(spark, sf):
+    groups = {"amount": ["quantity"], "item": ["size"], "terms": ["discount", "tax"]}
+    return _named(ml.ablation(*_halves(spark, sf), "linear", groups, "price"), "dropped")
+
+
+def leave_one_out(spark, sf):
+    return _named(ml.leave_one_out(_rows(spark, sf), "kind", "linear", FEATURES, "price"), "kind")
+
+
+def partial_dependence(spark, sf):
+    train, test = _halves(spark, sf)
+    return ml.partial_dependence(ml.regressor("tree", FEATURES, "price").fit(train), test, "quantity", [float(x) for x in range(5, 50, 5)])
+
+
+def permutation_importance(spark, sf):
+    train, test = _halves(spark, sf)
+    return ml.permutation_importance(ml.regressor("linear", FEATURES, "price").fit(train), test, FEATURES, "price", "row_id")
+
+
+def _drained(stream, mode="append"):
+    return streams.drained(stream, f"s{uuid.uuid4().hex}", mode)
+
+
+def stream_tumbling(spark, sf):
+    return _drained(streams.tumbling(streams.source(spark, f"{sf}/events.parquet"), "ts", "event_type", "value", "1 day", "1 hour"), "complete")
+
+
+def stream_sessions(spark, sf):
+    return _drained(streams.sessions(streams.source(spark, f"{sf}/events.parquet"), "ts", "user_id", "value", "12 hours", "1 hour"), "complete")
+
+
+def stream_dedup(spark, sf):
+    return _drained(streams.deduplicated(streams.source(spark, f"{sf}/events.parquet"), "ts", ["user_id", "event_type"], "1 minute"))
+
+
+def stream_jump_state(spark, sf):
+    return _drained(streams.jump_sessions(streams.source(spark, f"{sf}/events.parquet"), "ts", "user_id", "value", 1440.0, 500.0), "update")
+
+
+QUERIES = {f.__name__: f for f in (
+    regressors, ablation, leave_one_out, partial_dependence, permutation_importance, stream_tumbling, stream_sessions, stream_dedup, stream_jump_state,
+)}
