@@ -43,6 +43,8 @@ def sniffed(spark: SparkSession, path: str, sample: int = 65536) -> tuple[str, s
 def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
     """All columns as text, then those of `types` cast; what doesn't parse is null."""
     encoding, sep = sniffed(spark, path)
+    if encoding == "gb18030":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark's reader takes a few character sets only
     raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("inferSchema", False).csv(path)
     return raw.withColumns({k: c.parse_number(k) if t == "double" else F.col(k).try_cast(t) for k, t in (types or {}).items() if k in raw.columns})
 
