@@ -1,7 +1,7 @@
 """Quality by ordinal cumulative-link regression.
 
-A text's features are the words and symbol runs that occur in it, lower-cased and hashed into one table. Graded ratings are learned
-with one weight a feature, shared by all grades, and ordered thresholds: P(grade <= k) = logistic(threshold_k - score).
+A text's features are the words and symbol runs that occur in it, the words' beginnings, and the shares of words
+that follow themselves, of different words and of symbols, lower-cased and hashed into one table. Graded ratings are learned with one weight a feature, shared by all grades, and ordered thresholds: P(grade <= k) = logistic(threshold_k - score).
 The expected grade and the probability of at least `accept` follow for any text, and rows are selected by the latter.
 
 Training takes up to `most_rated` rated rows, those of least hashed id: a bounded sample, the only bound; it is fitted
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +26,23 @@ from .common import add_columns, table, without
 
 ADDED = ["expected_grade", "tail_prob", "selected"]
 TABLE = 1 << 18
+BEGINNINGS = (4, 5, 6)
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
 def features(text: str | None) -> np.ndarray:
-    """The sorted table places of the text's words and symbol runs."""
-    seen = set(_TOKEN.findall((text or "").lower()))
-    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & TABLE - 1 for w in seen), np.int32, len(seen)))
+    """The sorted table places of the text's words, their beginnings, symbol runs, and how repetitive it is."""
+    tokens = _TOKEN.findall((text or "").lower())
+    seen = set(tokens)
+    named = seen | {f"^{w[:k]}" for w in seen for k in BEGINNINGS if len(w) > k}
+    if tokens:
+        again = sum(map(eq, tokens, islice(tokens, 1, None)))
+        named.add(f"#again {10 * again // len(tokens)}")
+        named.add(f"#kinds {len(tokens).bit_length()} {10 * len(seen) // len(tokens)}")
+        marks = [w for w in tokens if not w[0].isalpha()]
+        named.add(f"#marks {10 * len(marks) // len(tokens)}")
+        named.add(f"#long marks {20 * sum(len(w) > 2 for w in marks) // len(tokens)}")
+    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & TABLE - 1 for w in named), np.int32, len(named)))
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -38,7 +50,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, ids: list[np.ndarray], grades: list[int], least_docs: int = 8, rounds: int = 150, decay: float = 2e-4):
+    def __init__(self, ids: list[np.ndarray], grades: list[int], least_docs: int = 15, rounds: int = 200, decay: float = 1e-3):
         self.grades = sorted(set(grades))
         self.weights = np.zeros(TABLE, np.float32)
         self.thresholds = np.zeros(0)
@@ -56,6 +68,7 @@ class Model:
         state = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(cuts)), np.zeros(len(cuts))]
         edge = np.concatenate(([-np.inf], cuts, [np.inf]))
         for t in range(1, rounds + 1):
+            pace = 0.1 if 3 * t < 2 * rounds else 0.02
             score = np.bincount(of, w[flat], n)
             edge[1:-1] = cuts
             upper, lower = logistic(edge[y + 1] - score), logistic(edge[y] - score)
@@ -67,7 +80,7 @@ class Model:
             for x, g, k in ((w, by_w, 0), (cuts, by_cut, 2)):
                 state[k] += 0.1 * (g - state[k])
                 state[k + 1] += 0.01 * (g * g - state[k + 1])
-                x -= 0.1 * (state[k] / (1 - 0.9**t)) / (np.sqrt(state[k + 1] / (1 - 0.99**t)) + 1e-7)
+                x -= pace * (state[k] / (1 - 0.9**t)) / (np.sqrt(state[k + 1] / (1 - 0.99**t)) + 1e-7)
             cuts.sort()
         self.weights[np.flatnonzero(number >= 0)] = w
         self.thresholds = cuts
