@@ -2,15 +2,16 @@
 
 Suffixes are classified as smaller or larger than the next one; the leftmost smaller ones' substrings are sorted by one
 round of inducing and named; if names repeat, the string of names is sorted recursively; from the order of the
-leftmost smaller suffixes one more round induces all. Over a small alphabet a round handles a bucket at a time with
-array operations; over the names of a recursion, where buckets are many and small, it handles a suffix at a time.
+leftmost smaller suffixes one more round induces all. A round handles a bucket at a time with array operations. A
+string of names with more than SMALL of them, whose buckets would be many and tiny, ends the recursion: it is sorted
+by rank doubling.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are handled a bucket at a time.
+#: Alphabets up to this size are sorted by inducing.
 SMALL = 1024
 
 
@@ -36,8 +37,8 @@ def _deal(out: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray) -> N
         out[c].append(part)
 
 
-def _induce_buckets(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    """The order of all suffixes from that of the leftmost smaller ones, a bucket at a time; s has type int16."""
+def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """The order of all suffixes from that of the leftmost smaller ones; s has type int16."""
     none = np.zeros(0, np.int64)
     seeded: list[list[np.ndarray]] = [[] for _ in range(k)]
     _deal(seeded, seeds, s[seeds])
@@ -80,33 +81,28 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int)
     return order if len(order) == len(s) else np.concatenate(([len(s) - 1], order))
 
 
-def _induce_each(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    """The same, a suffix at a time."""
+def _ranked(s: np.ndarray) -> np.ndarray:
+    """The order of all suffixes by rank doubling, where each round sorts only those that aren't told apart yet."""
     n = len(s)
-    ends = np.cumsum(np.bincount(s, minlength=k))
-    text, is_small = s.tolist(), small.tolist()
-    order = [-1] * n
-    tail = ends.tolist()
-    for i in reversed(seeds.tolist()):
-        c = text[i]
-        tail[c] -= 1
-        order[tail[c]] = i
-    head = np.concatenate(([0], ends[:-1])).tolist()
-    for j in range(n):
-        i = order[j] - 1
-        if i >= 0 and not is_small[i]:
-            c = text[i]
-            order[head[c]] = i
-            head[c] += 1
-    tail = ends.tolist()
-    for j in range(n - 1, -1, -1):
-        i = order[j] - 1
-        if i >= 0 and is_small[i]:
-            c = text[i]
-            tail[c] -= 1
-            order[tail[c]] = i
-    order[0] = n - 1
-    return np.array(order, np.int64)
+    order = np.argsort(s, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], s[order][1:] != s[order][:-1])))
+    size = np.diff(np.concatenate((first, [n])))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, size)
+    active, k = order[np.repeat(size, size) > 1], 1
+    while len(active):
+        key = rank[active] * n + rank[np.minimum(active + k, n - 1)]
+        sort = np.argsort(key)
+        active, key = active[sort], key[sort]
+        own = rank[active]
+        group = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        part = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((part, [len(key)])))
+        rank[active] = own + np.repeat(part, size) - np.repeat(group, np.diff(np.concatenate((group, [len(key)]))))
+        active, k = active[np.repeat(size, size) > 1], 2 * k
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
@@ -114,16 +110,14 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
+    if k > SMALL:
+        return _ranked(s)
     small = smaller_types(s)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if k <= SMALL:
-        s = s.astype(np.int16)
-        induce = _induce_buckets
-    else:
-        induce = _induce_each
+    s = s.astype(np.int16)
     is_left = np.zeros(n, bool)
     is_left[leftmost] = True
-    first = induce(s, small, leftmost, k)
+    first = _induce(s, small, leftmost, k)
     ordered = first[is_left[first]]
     following = np.full(n, n - 1, np.int64)
     following[leftmost[:-1]] = leftmost[1:]
@@ -142,7 +136,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         named = np.zeros(n, np.int64)
         named[ordered] = names
         ordered = leftmost[suffix_array(named[leftmost], int(names[-1]) + 1)]
-    return induce(s, small, ordered, k)
+    return _induce(s, small, ordered, k)
 
 
 def permuted_prefixes(s: np.ndarray, order: np.ndarray, most: int, every: int = 16) -> np.ndarray:
