@@ -5,7 +5,8 @@ that follow themselves, of different words and of symbols, lower-cased and hashe
 The expected grade and the probability of at least `accept` follow for any text, and rows are selected by the latter.
 
 Training takes up to `most_rated` rated rows, those of least hashed id: a bounded sample, the only bound; it is fitted
-on the driver from hashed features. Features seen in fewer than `least_docs` of them have no weight. Prediction reads
+on the driver from hashed features. Features that fewer than `least_docs` of them have, or that are spread over the grades as chance
+would have it (a z-score under `least_z`), have no weight. Prediction reads
 whole texts. Null text counts as empty, and an empty text has the score 0. Rated ids that occur again count once, with
 their least grade. Without two grades to learn from every row is selected, with probability 1. Repeated rows score
 alike; an empty table gives an empty result. Input columns named like an added one are replaced.
@@ -50,15 +51,15 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, ids: list[np.ndarray], grades: list[int], least_docs: int = 15, rounds: int = 200, decay: float = 1e-3):
+    def __init__(self, ids: list[np.ndarray], grades: list[int], least_docs: int = 8, least_z: float = 5.0, rounds: int = 200, decay: float = 1e-3):
         self.grades = sorted(set(grades))
         self.weights = np.zeros(TABLE, np.float32)
         self.thresholds = np.zeros(0)
         if len(self.grades) < 2:
             return
         y = np.array([self.grades.index(g) for g in grades])
-        seen = np.bincount(np.concatenate(ids), minlength=TABLE)
-        number = np.where(seen >= least_docs, np.cumsum(seen >= least_docs) - 1, -1)
+        useful = self._telling(ids, y, least_docs, least_z)
+        number = np.where(useful, np.cumsum(useful) - 1, -1)
         rows = [number[i][number[i] >= 0] for i in ids]
         flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         share = np.bincount(y, minlength=len(self.grades)) / len(y)
@@ -85,6 +86,18 @@ class Model:
         self.weights[np.flatnonzero(number >= 0)] = w
         self.thresholds = cuts
 
+    @staticmethod
+    def _telling(ids: list[np.ndarray], y: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
+        """Which features are in enough texts, and in more or fewer of those above some grade than chance would have."""
+        flat, of, n = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids]), len(ids)
+        seen, most = np.bincount(flat, minlength=TABLE), np.zeros(TABLE)
+        for k in range(y.max()):
+            up = np.bincount(flat, (y > k)[of], TABLE)
+            share, n_up = seen / n, (y > k).sum()
+            spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * n_up * (n - n_up) / n)
+            most = np.maximum(most, np.abs(up - share * n_up) / spread)
+        return (seen >= least_docs) & (most >= least_z)
+
     def above(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) for all but the last grade, a row for each text."""
         score = np.array([self.weights[features(t)].sum(dtype=np.float64) for t in texts])
