@@ -135,6 +135,29 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def brute_sets(text, seeds):
+    import xxhash
+
+    words = set(re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()))
+    out = []
+    for k in range(seeds):
+        h = [xxhash.xxh3_128_intdigest(w, 42 + k // 2) >> (0 if k % 2 else 64) & ((1 << 64) - 1) for w in words]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    return out
+
+
+def test_near_copies(docs, empty):
+    found = simhash.near_copies(docs, seeds=3).collect()
+    label = linked([brute_sets(r.text, 3) for r in found], lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(a, b)))
+    low = {k: min((r.doc_id for r, x in zip(found, label) if x == k and r.doc_id is not None), default=None) for k in set(label)}
+    assert [r.component_id for r in found] == [low[x] for x in label]
+    kept = simhash.drop_near_copies(docs, seeds=3)
+    assert kept.count() == len(set(label)) and kept.columns == docs.columns
+    changed = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert len({changed[i] for i in range(20, 32)}) <= 2  # one text with single words changed
+    assert simhash.near_copies(empty).count() == 0
+
+
 @pytest.mark.parametrize("most", [1, 64])
 def test_simhash_links(spark, most):
     r = random.Random(3)
@@ -148,7 +171,7 @@ def test_simhash_links(spark, most):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most)
+    edges = simhash.links(spark.createDataFrame([(0, x) for x in signed], "seed int, fp long"), most=most).drop("seed")
     from isobar.llm.common import components
 
     got = {x: x for x in signed} | {r.node: r.label for r in components(edges, "test").collect()}
@@ -382,7 +405,7 @@ def test_pipeline_stages(spark, tmp_path):
             want = before.selectExpr("lower(text) AS t").distinct().count()
             assert docs.count() == want
         if name == "simhash_near_dedup":
-            fps = [brute_fingerprint(r.text, 5) for r in before.collect()]
-            assert docs.count() == len(set(linked(fps, lambda a, b: (a ^ b).bit_count() <= 2)))
+            fps = [brute_sets(r.text, 4) for r in before.collect()]
+            assert docs.count() == len(set(linked(fps, lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(a, b)))))
     assert docs.select("doc_id").distinct().count() <= before.count() and docs.count() >= before.count()
     assert isinstance(docs.toPandas(), pd.DataFrame)
