@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Words of one worker's dictionary, some 170 bytes each; when full it starts anew.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 700_000
 STOPS = ".,;:!?"
 #: White space of str.split() that the tokenizers' patterns do not take for such.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
