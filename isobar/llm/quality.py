@@ -89,13 +89,18 @@ class Model:
     @staticmethod
     def _telling(ids: list[np.ndarray], y: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
         """Which features are in enough texts, and in more or fewer of those above some grade than chance would have."""
-        flat, of, n = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids]), len(ids)
-        seen, most = np.bincount(flat, minlength=TABLE), np.zeros(TABLE)
-        for k in range(y.max()):
-            up = np.bincount(flat, (y > k)[of], TABLE)
-            share, n_up = seen / n, (y > k).sum()
+        n, seen, up = len(ids), np.zeros(TABLE), np.zeros((int(y.max()), TABLE))
+        for i in range(0, n, 500):  # in parts, for the driver's memory
+            flat = np.concatenate(ids[i : i + 500])
+            grade = np.repeat(y[i : i + 500], [len(x) for x in ids[i : i + 500]])
+            seen += np.bincount(flat, minlength=TABLE)
+            for k in range(len(up)):
+                up[k] += np.bincount(flat[grade > k], minlength=TABLE)
+        most, share = np.zeros(TABLE), seen / n
+        for k in range(len(up)):
+            n_up = (y > k).sum()
             spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * n_up * (n - n_up) / n)
-            most = np.maximum(most, np.abs(up - share * n_up) / spread)
+            most = np.maximum(most, np.abs(up[k] - share * n_up) / spread)
         return (seen >= least_docs) & (most >= least_z)
 
     def above(self, texts: list[str | None]) -> np.ndarray:
