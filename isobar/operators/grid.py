@@ -101,3 +101,29 @@ def area(lat: list[Column], lon: list[Column], pad: float, step: float) -> dict[
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def box_partition(cells: DataFrame, least_fill: float) -> DataFrame:
+    """(box, south, north, west, east, cells): boxes over tiles, each split at its largest empty stretch while too little of it is filled.
+
+    Tiles number 648 at most, so their boxes are planned on the driver.
+    """
+    todo = [sorted({(r[0], r[1]) for r in cells.select("tile_row", "tile_col").distinct().collect()})]
+    out = []
+    while todo:
+        box = todo.pop()
+        if not box:
+            continue
+        rows, cols = sorted({a for a, _ in box}), sorted({b for _, b in box})
+        full = (rows[-1] - rows[0] + 1) * (cols[-1] - cols[0] + 1)
+        steps = [(b - a, axis, b) for axis, x in enumerate((rows, cols)) for a, b in zip(x, x[1:], strict=False)]
+        if len(box) >= least_fill * full or not steps:
+            out.append((len(out), rows[0], rows[-1], cols[0], cols[-1], len(box)))
+            continue
+        gap, axis, at = max(steps)
+        if gap == 1:
+            axis = int(len(cols) > len(rows))
+            line = cols if axis else rows
+            at = line[len(line) // 2]
+        todo += [[c for c in box if c[axis] < at], [c for c in box if c[axis] >= at]]
+    return cells.sparkSession.createDataFrame(out, "box int, south int, north int, west int, east int, cells int")

@@ -81,3 +81,53 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
         error = model.transform(a.join(b, ["__part", "__k"])).agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0]
         out.append((f, float(error - base)))
     return df.sparkSession.createDataFrame(out, "feature string, importance double")
+
+
+def ridge_search(df: DataFrame, features: list[str], label: str, fold: str, alphas: list[float]) -> DataFrame:
+    """The grouped cross-validated mean squared error of each penalty; df has the fold numbers."""
+    out = None
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    for a in alphas:
+        for k in folds:
+            model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), LinearRegression(labelCol=label, regParam=a)])
+            rows = model.fit(df.filter(F.col(fold) != k)).transform(df.filter(F.col(fold) == k))
+            one = rows.agg(F.lit(a).alias("alpha"), F.lit(k).alias("fold"), F.count("*").alias("n"), F.sum((F.col(label) - F.col("prediction")) ** 2).alias("sse"))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("alpha").agg((F.sum("sse") / F.sum("n")).alias("mse"))
+
+
+def polynomial_fits(df: DataFrame, x: str, y: str, degrees: list[int]) -> DataFrame:
+    """R squared and AIC of polynomials of y in x."""
+    rows = df.withColumns({f"__x{k}": F.col(x) ** k for k in range(1, max(degrees) + 1)})
+    out = None
+    for d in degrees:
+        model = Pipeline(stages=[VectorAssembler(inputCols=[f"__x{k}" for k in range(1, d + 1)], outputCol="features"), LinearRegression(labelCol=y)])
+        fitted = model.fit(rows).transform(rows)
+        sse = F.sum((F.col(y) - F.col("prediction")) ** 2)
+        one = fitted.agg(F.lit(d).alias("degree"), F.count("*").alias("n"), (1 - sse / (F.var_pop(y) * F.count("*"))).alias("r2"), (F.count("*") * F.log(sse / F.count("*")) + 2 * (d + 1)).alias("aic"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def knn_support(df: DataFrame, train: DataFrame, features: list[str], row_id: str, k: int, most_train: int, quantile: float) -> DataFrame:
+    """(row_id, distance, supported): the mean distance to the k nearest of a bounded, hashed training sample in
+    standardised features, against the sample's own quantile of it. The sample, `most_train` rows, is what is broadcast."""
+    import numpy as np
+    import pandas as pd
+
+    part = train.orderBy(F.md5(F.col(row_id).cast("string")), row_id).limit(most_train).select(*features).toPandas().to_numpy(float)
+    mean, spread = part.mean(axis=0), part.std(axis=0) + 1e-12
+    part = (part - mean) / spread
+
+    def nearest(x: np.ndarray, own: int) -> np.ndarray:
+        d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ part.T + (part * part).sum(axis=1)[None, :], 0))
+        return np.sort(np.partition(d, k, axis=1)[:, : k + 1], axis=1)[:, own : k + own].mean(axis=1)
+
+    limit = float(np.quantile(nearest(part, 1), quantile))
+
+    @F.pandas_udf("double")
+    def distance(rows: pd.DataFrame) -> pd.Series:
+        x = (rows.to_numpy(float) - mean) / spread
+        return pd.Series(np.concatenate([nearest(x[i : i + 2000], 0) for i in range(0, len(x), 2000)]) if len(x) else [])
+
+    return df.select(row_id, distance(F.struct(*features)).alias("distance")).withColumn("supported", F.col("distance") <= limit)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ml
+from ..operators import grid, ml
 from ..streaming import streams
 from .base import r, table
 
@@ -54,6 +54,26 @@ def permutation_importance(spark, sf):
     return ml.permutation_importance(ml.regressor("linear", FEATURES, "price").fit(train), test, FEATURES, "price", "row_id")
 
 
+def ridge_search(spark, sf):
+    rows = _rows(spark, sf).withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(3)).cast("int"))
+    return ml.ridge_search(rows, FEATURES, "price", "fold", [0.0, 0.1, 1.0]).select("alpha", r("mse").alias("mse"))
+
+
+def polynomial_fits(spark, sf):
+    return ml.polynomial_fits(_rows(spark, sf), "quantity", "price", [1, 2, 3])
+
+
+def knn_support(spark, sf):
+    train, test = _halves(spark, sf)
+    return ml.knn_support(test, train, FEATURES, "row_id", 5, 2000, 0.95)
+
+
+def box_partition(spark, sf):
+    t = table(spark, sf, "events").filter("event_id % 50 = 0")
+    tiles = t.select(((F.col("event_id") * 37) % 18).cast("int").alias("tile_row"), ((F.col("event_id") * 91) % 36).cast("int").alias("tile_col"))
+    return grid.box_partition(tiles.filter("tile_row % 5 > 0"), 0.6)
+
+
 def _drained(stream, mode="append"):
     return streams.drained(stream, f"s{uuid.uuid4().hex}", mode)
 
@@ -75,5 +95,5 @@ def stream_jump_state(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    regressors, ablation, leave_one_out, partial_dependence, permutation_importance, stream_tumbling, stream_sessions, stream_dedup, stream_jump_state,
+    regressors, ablation, leave_one_out, partial_dependence, permutation_importance, ridge_search, polynomial_fits, knn_support, box_partition, stream_tumbling, stream_sessions, stream_dedup, stream_jump_state,
 )}
