@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -112,9 +114,6 @@ def polynomial_fits(df: DataFrame, x: str, y: str, degrees: list[int]) -> DataFr
 def knn_support(df: DataFrame, train: DataFrame, features: list[str], row_id: str, k: int, most_train: int, quantile: float) -> DataFrame:
     """(row_id, distance, supported): the mean distance to the k nearest of a bounded, hashed training sample in
     standardised features, against the sample's own quantile of it. The sample, `most_train` rows, is what is broadcast."""
-    import numpy as np
-    import pandas as pd
-
     part = train.orderBy(F.md5(F.col(row_id).cast("string")), row_id).limit(most_train).select(*features).toPandas().to_numpy(float)
     mean, spread = part.mean(axis=0), part.std(axis=0) + 1e-12
     part = (part - mean) / spread
