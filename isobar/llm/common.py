@@ -88,7 +88,7 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, spread
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 

@@ -89,15 +89,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
         for batch in batches:
             e = encoder(spec.value)
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
-            ids_of = e.encode(batch.column(1).to_pylist())
-            for d, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
-                whole = np.append(np.frombuffer(ids, e.dtype), e.dtype.type(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(whole), capacity)):
-                    part = whole[at : at + capacity].tobytes()
+            ids, counts = e.with_end(batch.column(1), end_id)
+            raw, end = ids.astype("<u4").tobytes(), 0
+            for d, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+                begin, end = end, end + n
+                for k, at in enumerate(range(0, n, capacity)):
+                    size = min(capacity, n - at)
+                    part = raw[4 * (begin + at) : 4 * (begin + at + size)]
                     doc.append(d)
                     piece.append(k)
                     start.append(at)
-                    length.append(len(part) // 4)
+                    length.append(size)
                     crc.append(zlib.crc32(part))
                     if keep_ids:
                         kept.append(part)

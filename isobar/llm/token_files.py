@@ -144,6 +144,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
 
     def store(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         shard, out, fs = TaskContext.get().partitionId(), None, None
@@ -154,11 +155,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
                 fs, path = _opened(folder)
                 temporary = f"{path}/_{_name(shard, 'ids')}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(temporary)
-            end = np.array([end_id], e.dtype).tobytes()
-            ids = e.encode(rows["text"].tolist())
-            keys.append(rows["key"].to_numpy(np.int64))
-            lengths.append(np.array([len(x) // e.width + 1 for x in ids], np.int64))
-            out.write(end.join([*ids, b""]))
+            ids, counts = e.with_end(rows.column(1), end_id)
+            keys.append(rows.column(0).to_numpy())
+            lengths.append(counts)
+            out.write(ids.tobytes())
         if out is None:
             return
         out.close()
@@ -167,12 +167,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         occurrence = np.arange(len(key)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(key)]))))
         _save_index(folder, shard, joint_keys(key, occurrence), length, e.width)
-        yield pd.DataFrame({"shard": [shard], "first": [int(key[0])], "docs": [len(key)], "ids": [int(length.sum())]})
+        found = [np.array([shard], np.int32), np.array([key[0]]), np.array([len(key)]), np.array([length.sum()])]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["shard", "first", "docs", "ids"])
 
     _opened(folder)[0].create_dir(_opened(folder)[1], recursive=True)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_KEY)).alias("key"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    found = sorted(dealt.mapInPandas(store, "shard int, first long, docs long, ids long").collect(), key=lambda r: r["shard"])
+    found = sorted(dealt.mapInArrow(store, "shard int, first long, docs long, ids long").collect(), key=lambda r: r["shard"])
     start, directory = 0, []
     for r in found:
         directory.append(r.asDict() | {"start": start})

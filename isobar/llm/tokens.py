@@ -11,15 +11,13 @@ from __future__ import annotations
 import gc
 import json
 import os
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 
-#: Words of one worker's dictionary, some 170 bytes each; when full it starts anew.
+#: Words of one worker's dictionary, some 170 bytes each; when full it is cut to half.
 MOST_WORDS = 700_000
 STOPS = ".,;:!?"
-#: White space of str.split() that the tokenizers' patterns do not take for such.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -35,7 +33,8 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.width = self.dtype.itemsize
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # words whose text has to be encoded whole
         d = json.loads(spec)
         pre, normal = d.get("pre_tokenizer") or {}, d.get("normalizer")
         parts = pre.get("pretokenizers") or [{}]
@@ -78,7 +77,8 @@ class Encoder:
             elif spaced:
                 inner = w[1:] if w[:1] == "\n" else w
                 if not inner or inner[0].isspace() or inner[-1].isspace():
-                    self.known[w] = None
+                    self.known[w] = b""
+                    self.odd.add(w)
                 elif len(inner.split()) > 1:
                     alone.append(w)
                 else:
@@ -102,37 +102,84 @@ class Encoder:
         for i in range(0, len(alone), 1000):
             self.known.update(zip(alone[i : i + 1000], self._whole(texts[i : i + 1000]), strict=True))
         for w in stopped:
-            core = self.known[w[:-1]]
-            self.known[w] = None if core is None else core + self.stops[w[-1]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, little-endian, in dtype; null as empty."""
-        texts = [t or "" for t in texts]
-        if self.kind == "whole":
-            return self._whole(texts)
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        if self.kind == "spaced":
-            split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if t else [] for t in texts]
+            self.known[w] = self.known[w[:-1]] + self.stops[w[-1]]
+            if w[:-1] in self.odd:
+                self.odd.add(w)
+
+    def encode_column(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Of an Arrow column of texts, null as empty: all ids in a row, and the number of each text's.
+
+        Texts are split and their words numbered by Arrow; only a batch's different words become Python strings.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        texts = pc.fill_null(column.cast(pa.string()), "")
+        n = len(texts)
+        if self.kind == "whole" or not n:
+            return self._together(self._whole(texts.to_pylist()))
+        if len(self.known) > MOST_WORDS:  # the first half was met first, so has the words met most
+            self.known = dict(islice(self.known.items(), MOST_WORDS // 2))
+            self.odd &= self.known.keys()
+        spaced = self.kind == "spaced"
+        if spaced:  # each text gets a line feed before it, whose ids are dropped again, and each line feed a space
+            lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n"), " ")
         else:
-            split = [t.split() for t in texts]
-        known = self.known
-        new = {w for w in set(chain.from_iterable(split)) if w not in known}
+            lists = pc.ascii_split_whitespace(texts)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values[offsets[0] : offsets[-1]].dictionary_encode()
+        offsets = offsets - offsets[0]
+        kinds, index = coded.dictionary, coded.indices.to_numpy()
+        whole = pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), kinds)
+        words = pc.binary_join(whole, " ")[0].as_py().split(" ") if len(kinds) else []  # no word has a space; faster than one by one
+        self.known[""] = b""
+        raw = list(map(self.known.get, words))
+        new = {w for w, x in zip(words, raw, strict=True) if x is None}
         if new:
             self._learn(new)
-        get, out, odd = self.known.__getitem__, [], []
-        drop = self.width * len(self.newline) if self.kind == "spaced" else 0
-        for i, words in enumerate(split):
-            try:
-                out.append(b"".join(map(get, words))[drop:])
-            except TypeError:
-                out.append(b"")
-                odd.append(i)
-        if self.kind == "words":
-            odd = [i for i, t in enumerate(texts) if any(x in t for x in SEPARATORS)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+            raw = list(map(self.known.__getitem__, words))
+        bad = np.zeros(len(words), bool)
+        if self.odd:
+            bad[:] = np.fromiter((w in self.odd for w in words), bool, len(words))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.width
+        ids, start = np.frombuffer(b"".join(raw), self.dtype), np.cumsum(size) - size
+        take, from_ = size[index], start[index]
+        odd = np.zeros(n, bool)
+        if spaced:
+            empty = np.fromiter((not w for w in words), bool, len(words))
+            wrong = np.concatenate(([0], np.cumsum(bad[index] + empty[index].astype(np.int64))))
+            odd = wrong[offsets[1:]] - wrong[offsets[:-1]] != 1  # the piece before the first space is empty, and no other
+            first = offsets[:-1] + 1
+            dropped = np.minimum(take[first], len(self.newline))
+            take[first] -= dropped
+            from_[first] += dropped
+        place = np.concatenate(([0], np.cumsum(take)))
+        out = ids[np.repeat(from_ - place[:-1], take) + np.arange(place[-1])]
+        counts = place[offsets[1:]] - place[offsets[:-1]]
+        if not odd.any():
+            return out, counts
+        parts = np.split(out, np.cumsum(counts)[:-1])
+        at = np.flatnonzero(odd).tolist()
+        for i, whole in zip(at, self._whole(texts.take(pa.array(at)).to_pylist()), strict=True):
+            parts[i] = np.frombuffer(whole, self.dtype)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _together(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(found), self.dtype), np.array([len(x) // self.width for x in found], np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian, in dtype; null as empty."""
+        import pyarrow as pa
+
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [p.tobytes() for p in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+
+    def with_end(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode_column with end_id after each text."""
+        ids, counts = self.encode_column(column)
+        return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
 _ENCODERS: dict[str, Encoder] = {}
