@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The Earth's radius in nautical miles, and knots in a metre a second.
 NAUTICAL_RADIUS = 3440.065
 KNOTS = 1.9438444924406048
 
