@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -87,8 +88,11 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, spread
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches that stay small when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Arrow batches that stay small when texts are long, and workers that find this package where it lies."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
@@ -137,19 +141,7 @@ def add_columns(docs: DataFrame, compute, added: dict[str, str], drop: tuple[str
     types = to_arrow_schema(new)
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(batch.schema.get_field_index(text_col)).nbytes
-            if size >= least_bytes:
-                yield from done(held)
-                held, size = [], 0
-        if held:
-            yield from done(held)
-
-    def done(held):
-        rows = pa.Table.from_batches(held)
-        if rows.num_rows:
+        for rows in gathered(batches, text_col, least_bytes):
             values = compute(rows)
             rows = rows.select([f.name for f in kept])
             for f in types:
@@ -160,6 +152,22 @@ def add_columns(docs: DataFrame, compute, added: dict[str, str], drop: tuple[str
     return docs.mapInArrow(run, schema)
 
 
+def gathered(batches, text_col: str, least_bytes: int):
+    """Tables of Arrow batches put together until their texts have least_bytes; none is empty."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index(text_col)).nbytes
+        if held and size >= least_bytes:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 BLOOM_WORDS = 1 << 19
 
 

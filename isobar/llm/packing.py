@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, small_batches, table
-from .tokens import encoder, public, read_spec
+from .common import cut, gathered, numbered, small_batches, table
+from .tokens import TOGETHER, encoder, public, read_spec
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in gathered(batches, text_col, TOGETHER):
             e = encoder(spec.value)
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             ids, counts = e.with_end(batch.column(1), end_id)

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, table
-from .tokens import encoder, public, read_spec
+from .common import gathered, scratch, small_batches, table
+from .tokens import TOGETHER, encoder, public, read_spec
 
 LEAST_KEY = -(1 << 63)
 LEVELS = 64
@@ -149,14 +149,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
 
         shard, out, fs = TaskContext.get().partitionId(), None, None
         keys, lengths = [], []
-        for rows in batches:
+        for rows in gathered(batches, "text", TOGETHER):
             e = encoder(spec.value)
             if out is None:
                 fs, path = _opened(folder)
                 temporary = f"{path}/_{_name(shard, 'ids')}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(temporary)
             ids, counts = e.with_end(rows.column(1), end_id)
-            keys.append(rows.column(0).to_numpy())
+            keys.append(rows.column(0).to_numpy().copy())
             lengths.append(counts)
             out.write(ids.tobytes())
         if out is None:

@@ -17,6 +17,8 @@ import numpy as np
 
 #: Words of one worker's dictionary, some 170 bytes each; when full it is cut to half.
 MOST_WORDS = 700_000
+#: Bytes of text that are encoded together: fewer different words in all, and so fewer lookups.
+TOGETHER = 6 << 20
 STOPS = ".,;:!?"
 
 
