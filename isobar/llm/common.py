@@ -99,30 +99,30 @@ def small_batches(spark: SparkSession) -> None:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label): the smallest node that each node of edges(u, v) is linked with.
 
-    Each round takes the smallest label among neighbours and then that label's own label, so a chain shortens by
-    half or more; its table is written to the shared folder. Minima are combined before any shuffle.
+    Each round points every node to its smallest neighbour or itself, follows the pointers to their ends, and replaces
+    nodes by these, so that edges within a group fall away and later rounds have few. Tables are written to the shared
+    folder; minima are combined before any shuffle.
     """
-    spark = edges.sparkSession
-    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    path = scratch(spark, f"{name}-0")
-    both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select(
-        "node", F.least("node", "least").alias("label"), F.lit(True).alias("moved")
-    ).write.parquet(path)
-    turn = 0
-    while True:
-        labels = spark.read.parquet(path)
-        if not labels.filter("moved").head(1):
-            return labels.select("node", "label")
-        turn += 1
-        plain = labels.select("node", "label")
-        near = both.join(plain.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
-        low = plain.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = plain.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        after = low.join(jump, "mid").select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") < F.col("old")).alias("moved"))
-        new = scratch(spark, f"{name}-{turn}")
-        after.write.parquet(new)
-        drop_path(spark, path)
-        path = new
+    left = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), f"{name}-edges")
+    found = None
+    while left.head(1):
+        ends = left.select(F.col("u").alias("node"), F.col("u").alias("label")).unionByName(left.select(F.col("v").alias("node"), F.col("u").alias("label")))
+        point = cut(ends.groupBy("node").agg(F.min("label").alias("label")), f"{name}-points")
+        while True:
+            far = point.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            after = cut(point.join(far, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), f"{name}-points")
+            point = after.select("node", "label")
+            if not after.filter("moved").head(1):
+                break
+        if found is None:
+            found = point
+        else:
+            far = point.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            found = cut(found.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), f"{name}-labels")
+        as_u, as_v = (point.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("u", "v"))
+        kept = left.join(as_u, "u").join(as_v, "v").filter("lu <> lv")
+        left = cut(kept.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct(), f"{name}-edges")
+    return left.select(F.col("u").alias("node"), F.col("v").alias("label")) if found is None else found
 
 
 def add_columns(docs: DataFrame, compute, added: dict[str, str], drop: tuple[str, ...] = (), text_col: str = "text", least_bytes: int = 0) -> DataFrame:
