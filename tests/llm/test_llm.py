@@ -158,6 +158,34 @@ def test_near_copies(docs, empty):
     assert simhash.near_copies(empty).count() == 0
 
 
+def brute_shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return not (a or b) or 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("most", [1, 3, 64])
+def test_similar_finds_all(spark, docs, empty, most):
+    r = random.Random(8)
+    rows = [(i, t) for i, t in docs.select("doc_id", "text").collect()]
+    for k in range(8):  # pairs around 0.8, and a group whose members are linked by way of others
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        rows.append((1000 + 10 * k, " ".join(words)))
+        for n in range(1, 6):
+            changed = list(words)
+            for at in r.sample(range(200), n):
+                changed[at] = f"c{r.randrange(10**6)}"
+            rows.append((1000 + 10 * k + n, " ".join(changed)))
+    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
+    label = linked([brute_shingles(x.text) for x in found], alike)
+    low = {k: min((x.doc_id for x, y in zip(found, label) if y == k and x.doc_id is not None), default=None) for k in set(label)}
+    assert [x.component_id for x in found] == [low[x] for x in label]
+    assert simhash.drop_similar(docs).columns == docs.columns and simhash.similar(empty).count() == 0
+
+
 @pytest.mark.parametrize("most", [1, 64])
 def test_simhash_links(spark, most):
     r = random.Random(3)
