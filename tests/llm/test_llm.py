@@ -186,6 +186,15 @@ def test_similar_finds_all(spark, docs, empty, most):
     assert simhash.drop_similar(docs).columns == docs.columns and simhash.similar(empty).count() == 0
 
 
+def test_similar_keeps_what_is_below(spark):
+    words = [f"w{i}" for i in range(300)]
+    few = [w if i % 25 else f"c{i}" for i, w in enumerate(words)]  # 12 words changed: Jaccard 0.67
+    texts = [" ".join(x) for x in (words, words[::-1], few, words * 2)]  # other order, repeated: one word set
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in simhash.similar(rows).orderBy("doc_id").collect()] == [0, 1, 2, 0]
+    assert len({r.component_id for r in simhash.near_copies(rows).collect()}) < 3  # word sets alone can't tell
+
+
 @pytest.mark.parametrize("most", [1, 64])
 def test_simhash_links(spark, most):
     r = random.Random(3)
