@@ -69,21 +69,22 @@ def circular_span(bins: DataFrame, group: list[str], name: str, count: int) -> D
     return bins.select(*group, name).distinct().withColumn("gap", ahead).groupBy(*group).agg((count - F.max("gap") + 1).cast("long").alias("span_bins"))
 
 
-def tile_components(tiles: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(tile_row, tile_col, component): 8-neighbour components; at most 648 tiles of 10 degrees, so rounds are tiny."""
-    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near]))
-    labels = tiles.select("tile_row", "tile_col").distinct().withColumn("component", F.col("tile_row") * 1000 + F.col("tile_col"))
-    previous = None
-    for _ in range(most_rounds):
-        spread = labels.select("component", "tile_row", "tile_col", step.alias("s")).select((F.col("tile_row") + F.col("s.a")).alias("tile_row"), (F.col("tile_col") + F.col("s.b")).alias("tile_col"), "component")
-        rows = labels.select("tile_row", "tile_col").join(spread.groupBy("tile_row", "tile_col").agg(F.min("component").alias("component")), ["tile_row", "tile_col"]).collect()
-        now = {(r[0], r[1]): r[2] for r in rows}
-        labels = tiles.sparkSession.createDataFrame([(*k, v) for k, v in now.items()], "tile_row int, tile_col int, component int")
-        if now == previous:
-            break
-        previous = now
-    return labels
+def tile_components(tiles: DataFrame) -> DataFrame:
+    """(tile_row, tile_col, component): 8-neighbour components; at most 648 tiles of 10 degrees, so they are joined on the driver."""
+    left = {(r[0], r[1]) for r in tiles.select("tile_row", "tile_col").dropna().distinct().collect()}
+    out = []
+    while left:
+        todo = [left.pop()]
+        found = []
+        while todo:
+            a, b = todo.pop()
+            found.append((a, b))
+            near = {(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        least = min(a * 1000 + b for a, b in found)
+        out += [(a, b, least) for a, b in found]
+    return tiles.sparkSession.createDataFrame(out, "tile_row int, tile_col int, component int")
 
 
 def nodes(points: DataFrame) -> DataFrame:

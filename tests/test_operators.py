@@ -103,3 +103,9 @@ def test_stream_equals_batch(spark):
     jumps = streams.drained(streams.jump_sessions(streams.source(spark, path), "ts", "user_id", "value", 1440.0, 1e9), "jumps_test", "update")
     batch = series.gap_sessions(spark.read.parquet(path), ["user_id"], "ts", "event_id", 1440.0).groupBy("user_id").agg(F.max("session_no"))
     assert {(r.entity, r.sessions) for r in jumps.collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_tile_components_of_a_long_path(spark):
+    cells = [(a, b) for a in range(0, 18, 2) for b in range(36)] + [(a, 35 if a % 4 == 1 else 0) for a in range(1, 17, 2)]
+    found = grid.tile_components(spark.createDataFrame([*cells, *cells[:9]], "tile_row int, tile_col int")).collect()
+    assert len(found) == len(cells) and {r.component for r in found} == {0}
