@@ -109,3 +109,15 @@ def test_tile_components_of_a_long_path(spark):
     cells = [(a, b) for a in range(0, 18, 2) for b in range(36)] + [(a, 35 if a % 4 == 1 else 0) for a in range(1, 17, 2)]
     found = grid.tile_components(spark.createDataFrame([*cells, *cells[:9]], "tile_row int, tile_col int")).collect()
     assert len(found) == len(cells) and {r.component for r in found} == {0}
+
+
+def test_tile_queries_read_all_events(spark):
+    from isobar.plans.base import telemetry
+    from isobar.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    t = telemetry(spark, sf)
+    place = lambda v, low: F.floor((F.col(v) - low) / 10)
+    assert QUERIES["tile_components"](spark, sf).agg(F.sum("tiles")).first()[0] == t.select(place("lat", -90), place("lon", -180)).distinct().count()
+    tiles = t.selectExpr("event_id * 37 % 18 AS a", "event_id * 91 % 36 AS b").filter("a % 5 > 0").distinct()
+    assert QUERIES["box_partition"](spark, sf).agg(F.sum("cells")).first()[0] == tiles.count()
