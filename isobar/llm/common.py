@@ -148,10 +148,26 @@ def add_columns(docs: DataFrame, compute, added: dict[str, str], drop: tuple[str
                 v = values[f.name]
                 rows = rows.append_column(f.name, v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, f.type))
             yield from rows.combine_chunks().to_batches()
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Gives a worker's unused memory back to the system; workers are used again by later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library
+
+
 def gathered(batches, text_col: str, least_bytes: int):
     """Tables of Arrow batches put together until their texts have least_bytes; none is empty."""
     import pyarrow as pa

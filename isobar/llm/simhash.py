@@ -104,142 +104,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).drop("__fp", "__n")
 
 
-def word_fingerprints(text: str | None, seeds: int) -> list[int]:
-    """Signed fingerprints of the set of words, with as many independent hashes."""
-    from xxhash import xxh3_128_digest
-
-    words = list(dict.fromkeys((text or "").encode("utf-8", "surrogatepass").lower().split()))
-    if not words:
-        return [0] * seeds
-    drawn = [np.frombuffer(b"".join([xxh3_128_digest(w, 42 + k) for w in words]), np.uint8).reshape(len(words), 16) for k in range(-(-seeds // 2))]
-    bits = np.unpackbits(np.hstack(drawn), axis=1).sum(axis=0, dtype=np.int64) * 2 > len(words)
-    return np.packbits(bits).view(">i8").tolist()[:seeds]
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = 4, distance: int = 2) -> DataFrame:
-    """All rows and columns of docs with component_id and component_node: copies with small changes.
-
-    Fingerprints of five-word shingles differ in 7 to 9 bits where a fiftieth of the words is changed and four fifths of
-    the shingles are shared, more than pigeonhole blocks can join at scale. Those of word sets differ in 2 to 4, and with
-    several independent ones it is enough that one pair is within the distance; each is joined by blocks as ever.
-    """
-    base = without(docs, ["component_id", "component_node"])
-    compute = lambda rows: {"__fps": [word_fingerprints(t, seeds) for t in rows.column(text_col).to_pylist()]}
-    rows = cut(add_columns(base, compute, {"__fps": "array<long>"}, (), text_col).withColumn("__node", F.xxhash64("__fps")), "simhash-rows")
-    each = cut(rows.groupBy(F.col("__node").alias("node")).agg(F.first("__fps").alias("fps"), F.min(id_col).alias("low"), F.count("*").alias("n")), "simhash-nodes")
-    by_seed = cut(each.select("node", F.posexplode("fps").alias("seed", "fp")), "simhash-seeds")
-    first = cut(by_seed.groupBy("seed", "fp").agg(F.min("node").alias("first")), "simhash-firsts")
-    same = by_seed.join(first, ["seed", "fp"]).filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    end = lambda x: first.select("seed", F.col("fp").alias(x), F.col("first").alias(f"n{x}"))
-    near = links(first.select("seed", "fp"), distance).join(end("u"), ["seed", "u"]).join(end("v"), ["seed", "v"]).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-    label = components(same.unionByName(near), "simhash-cc").withColumnRenamed("label", "component_node")
-    return _grouped(rows, each, label).drop("__fps")
-
-
-def _grouped(rows: DataFrame, each: DataFrame, label: DataFrame) -> DataFrame:
-    """rows with component_id and component_node instead of __node: each(node, low, n) in the components label(node, component_node)."""
-    named = cut(each.select("node", "low", "n").join(label, "node", "left").withColumn("component_node", F.coalesce("component_node", "node")), "simhash-named")
-    least = named.groupBy("component_node").agg(F.min("low").alias("component_id"))
-    of_node = cut(named.join(least, "component_node").select(F.col("node").alias("__node"), "component_node", "component_id", F.col("n").alias("__n")), "simhash-components")
-    return attach(rows, of_node, "__node", "__n", rows.count()).drop("__node", "__n")
-
-
-BANDS, BAND_ROWS = 20, 4
-SHINGLE = 5
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted set of XXH64 values of the text's five-word shingles; texts of fewer words have one, blank ones none."""
-    from xxhash import xxh64_digest
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(words) - SHINGLE + 1)]
-    spans = zip(starts.tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist(), strict=True)
-    return np.unique(np.frombuffer(b"".join([xxh64_digest(joined[a:b], 42) for a, b in spans]), np.uint64))
-
-
-def band_keys(found: np.ndarray) -> list[int]:
-    """Keys of the bands of least values: two sets of Jaccard similarity s have one in common with 1 - (1 - s^4)^20 (0.99997 at 0.8)."""
-    from xxhash import xxh3_64_digest
-
-    if not len(found):
-        return []
-    drawn = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
-    least = np.min([(found[i : i + 4096] * (drawn[0] | np.uint64(1)) + drawn[1]).min(axis=1) for i in range(0, len(found), 4096)], axis=0)
-    bands = least.reshape(BANDS, BAND_ROWS)
-    return np.frombuffer(b"".join([xxh3_64_digest(b.tobytes(), k) for k, b in enumerate(bands)]), ">i8").tolist()
-
-
-def _sketches(texts: list) -> dict:
-    from xxhash import xxh3_64_intdigest
-
-    out: dict[str, list] = {"__node": [], "__size": [], "__keys": []}
-    for t in texts:
-        found = shingles(t)
-        for n, v in zip(out, (_signed(xxh3_64_intdigest(found.tobytes())), len(found), band_keys(found)), strict=True):
-            out[n].append(v)
-    return out
-
-
-def _pairs(a: DataFrame, b: DataFrame, where) -> DataFrame:
-    """(u, v), u < v: nodes of a and b(key, node, size) on one key, of sizes that let the sets be similar."""
-    met = a.alias("a").join(b.alias("b"), "key").filter(where & (F.col("a.size") * 5 >= F.col("b.size") * 4) & (F.col("b.size") * 5 >= F.col("a.size") * 4))
-    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """The pairs(u, v) whose sets of shingles have an exact Jaccard similarity of 0.8 or more."""
-    pairs = cut(pairs, "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("__node")).distinct()
-    texts = rows.select("__node", text_col).join(wanted, "__node", "left_semi").dropDuplicates(["__node"])
-    sets = add_columns(texts, lambda r: {"__set": [shingles(t).view(np.int64) for t in r.column(text_col).to_pylist()]}, {"__set": "array<long>"}, (text_col,), text_col)
-    sets = cut(sets, "similar-sets")
-    one = lambda x: sets.select(F.col("__node").alias(x), F.col("__set").alias(f"s{x}"))
-    shared = F.size(F.array_intersect("su", "sv"))
-    return cut(pairs.join(one("u"), "u").join(one("v"), "v").filter(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"), "similar-links")
-
-
-def similar_links(rows: DataFrame, each: DataFrame, text_col: str, most: int = 64, rounds: int = 4) -> DataFrame:
-    """(node, component_node): components of all pairs that share a band and are verified.
-
-    Pairs of a key of up to `most` nodes are all verified. Of larger ones, the nodes outside the largest component on the
-    key are verified against one of its nodes, a new one each round; in the last round against all nodes of other
-    components, so that what is left out is linked already.
-    """
-    dealt = cut(each.select("node", "size", F.explode("keys").alias("key")), "similar-keys")
-    met = attach(dealt, dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key", "m", dealt.count()).filter("m IS NOT NULL")
-    met = cut(met, "similar-met")
-    few, many = met.filter(F.col("m") <= most), met.filter(F.col("m") > most)
-    edges = _verified(_pairs(few, few, F.col("a.node") < F.col("b.node")), rows, text_col)
-    for k in range(rounds + 1):
-        label = components(edges, "similar-cc")
-        named = cut(many.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-many")
-        parts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        main = parts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all")).filter("parts > 1")
-        mixed = cut(attach(named, main, "key", "all", named.count()).filter("main IS NOT NULL").drop("parts", "all"), "similar-mixed")
-        if k > rounds or not mixed.head(1):
-            break
-        rest = mixed.filter("label <> main")
-        hub = mixed.filter("label = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "size", "label")).alias("h")).select("key", "h.node", "h.size", "h.label")
-        edges = edges.unionByName(_verified(_pairs(rest, hub if k < rounds else mixed, F.col("a.label") != F.col("b.label")), rows, text_col))
-    return components(edges, "similar-cc").withColumnRenamed("label", "component_node")
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All rows and columns of docs with component_id and component_node: texts whose sets of five-word shingles have an
-    exact Jaccard similarity of 0.8 or more are linked. Candidates are the pairs that agree in a band of least values."""
-    base = without(docs, ["component_id", "component_node"])
-    added = {"__node": "long", "__size": "int", "__keys": "array<long>"}
-    rows = cut(add_columns(base, lambda r: _sketches(r.column(text_col).to_pylist()), added, (), text_col), "similar-rows")
-    each = rows.groupBy(F.col("__node").alias("node")).agg(F.first("__size").alias("size"), F.first("__keys").alias("keys"), F.min(id_col).alias("low"), F.count("*").alias("n"))
-    each = cut(each, "similar-nodes")
-    return _grouped(rows.drop("__size", "__keys"), each, similar_links(rows, each, text_col, **options))
-
-
 def one_of_each(docs: DataFrame, found: DataFrame, component: str, id_col: str = "doc_id") -> DataFrame:
     """One row of each component, that of its smallest id, in docs' columns."""
     low = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
@@ -252,15 +116,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return one_of_each(docs, near_duplicates(docs, id_col, text_col, **options), "component_fp", id_col)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component of near_copies."""
-    return one_of_each(docs, near_copies(docs, id_col, text_col, **options), "component_node", id_col)
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component of similar."""
-    return one_of_each(docs, similar(docs, id_col, text_col, **options), "component_node", id_col)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, keep_text=False).select("doc_id", *ADDED)

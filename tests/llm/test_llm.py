@@ -9,8 +9,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from isobar.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, quality, sais, sharding, simhash, substring_dedup, token_files, tokens
+from isobar.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, quality, sais, sharding, similar, simhash, substring_dedup, token_files, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string, __x int"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -135,29 +136,6 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def brute_sets(text, seeds):
-    import xxhash
-
-    words = set(re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()))
-    out = []
-    for k in range(seeds):
-        h = [xxhash.xxh3_128_intdigest(w, 42 + k // 2) >> (0 if k % 2 else 64) & ((1 << 64) - 1) for w in words]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    return out
-
-
-def test_near_copies(docs, empty):
-    found = simhash.near_copies(docs, seeds=3).collect()
-    label = linked([brute_sets(r.text, 3) for r in found], lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(a, b)))
-    low = {k: min((r.doc_id for r, x in zip(found, label) if x == k and r.doc_id is not None), default=None) for k in set(label)}
-    assert [r.component_id for r in found] == [low[x] for x in label]
-    kept = simhash.drop_near_copies(docs, seeds=3)
-    assert kept.count() == len(set(label)) and kept.columns == docs.columns
-    changed = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
-    assert len({changed[i] for i in range(20, 32)}) <= 2  # one text with single words changed
-    assert simhash.near_copies(empty).count() == 0
-
-
 def brute_shingles(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -167,8 +145,17 @@ def alike(a, b):
     return not (a or b) or 5 * len(a & b) >= 4 * len(a | b)
 
 
-@pytest.mark.parametrize("most", [1, 3, 64])
-def test_similar_finds_all(spark, docs, empty, most):
+def components_of(rows):
+    """The smallest id that each (id, text) reaches over pairs of texts with 0.8 or more of their shingles in common."""
+    label = linked([brute_shingles(t) for _, t in rows], alike)
+    low = {k: min((i for (i, _), y in zip(rows, label) if y == k and i is not None), default=None) for k in set(label)}
+    return [low[x] for x in label]
+
+
+@pytest.mark.parametrize("chunk,most", [(256, 64), (4, 2), (2, 1)])
+def test_similar_finds_all(spark, docs, empty, monkeypatch, chunk, most):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "MOST", most)
     r = random.Random(8)
     rows = [(i, t) for i, t in docs.select("doc_id", "text").collect()]
     for k in range(8):  # pairs around 0.8, and a group whose members are linked by way of others
@@ -179,11 +166,15 @@ def test_similar_finds_all(spark, docs, empty, most):
             for at in r.sample(range(200), n):
                 changed[at] = f"c{r.randrange(10**6)}"
             rows.append((1000 + 10 * k + n, " ".join(changed)))
-    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
-    label = linked([brute_shingles(x.text) for x in found], alike)
-    low = {k: min((x.doc_id for x, y in zip(found, label) if y == k and x.doc_id is not None), default=None) for k in set(label)}
-    assert [x.component_id for x in found] == [low[x] for x in label]
-    assert simhash.drop_similar(docs).columns == docs.columns and simhash.similar(empty).count() == 0
+    found = similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.text, x.component_id) for x in found) == Counter((i, t, c) for (i, t), c in zip(rows, components_of(rows)))
+    if chunk == 256:
+        kept = similar.drop_similar(docs)
+        assert kept.columns == docs.columns and similar.similar(empty).count() == 0 and similar.drop_similar(empty).count() == 0
+        plain_rows = plain(docs)
+        assert kept.count() == len(set(linked([brute_shingles(t) for _, t in plain_rows], alike)))
+        clash = docs.withColumns({n: F.lit(1) for n in ("m", "node", "group", "label", "low", "n", "words", "g", "set", "key")})
+        assert similar.drop_similar(clash).count() == kept.count()
 
 
 def test_similar_keeps_what_is_below(spark):
@@ -191,8 +182,26 @@ def test_similar_keeps_what_is_below(spark):
     few = [w if i % 25 else f"c{i}" for i, w in enumerate(words)]  # 12 words changed: Jaccard 0.67
     texts = [" ".join(x) for x in (words, words[::-1], few, words * 2)]  # other order, repeated: one word set
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r.component_id for r in simhash.similar(rows).orderBy("doc_id").collect()] == [0, 1, 2, 0]
-    assert len({r.component_id for r in simhash.near_copies(rows).collect()}) < 3  # word sets alone can't tell
+    assert [r.component_id for r in similar.similar(rows).orderBy("doc_id").collect()] == [0, 1, 2, 0]
+
+
+def test_similar_recall_over_all_pairs(spark):
+    """Every pair of distinct texts of a whole table at 0.8 or more, found through the words they share, is in one group; no drop is without such a pair."""
+    base = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = [(r.doc_id, r.text, r.component_id) for r in similar.similar(base.select("doc_id", "text")).collect()]
+    component = {i: c for i, _, c in found}
+    owners = {}
+    sets = {}
+    for i, t, _ in sorted(found, key=lambda x: x[0]):
+        sets[i] = brute_shingles(t)
+        for x in sets[i]:
+            owners.setdefault(x, []).append(i)
+    shared = Counter((a, b) for ids in owners.values() if len(ids) > 1 for k, b in enumerate(ids) for a in ids[:k])
+    pairs = [(a, b) for (a, b), n in shared.items() if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert len(pairs) > 40
+    assert sum(component[a] == component[b] for a, b in pairs) >= 0.99 * len(pairs)
+    near = {x for p in pairs for x in p}
+    assert all(component[i] == i or i in near or not sets[i] for i in component)
 
 
 @pytest.mark.parametrize("most", [1, 64])
@@ -442,7 +451,7 @@ def test_pipeline_stages(spark, tmp_path):
             want = before.selectExpr("lower(text) AS t").distinct().count()
             assert docs.count() == want
         if name == "simhash_near_dedup":
-            fps = [brute_sets(r.text, 4) for r in before.collect()]
-            assert docs.count() == len(set(linked(fps, lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(a, b)))))
+            rows = [(r.doc_id, r.text) for r in before.collect()]
+            assert {r.doc_id for r in docs.collect()} == set(components_of(rows))
     assert docs.select("doc_id").distinct().count() <= before.count() and docs.count() >= before.count()
     assert isinstance(docs.toPandas(), pd.DataFrame)
