@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import decontaminate, exact_dedup, packing, quality, simhash
+from isobar.llm import decontaminate, exact_dedup, packing, quality, similar
 from isobar.llm.common import cut, table
 from isobar.llm.tokens import public
 
@@ -22,7 +22,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies: texts that share four fifths of their five-word shingles, or more."""
-    return simhash.drop_similar(docs)
+    return similar.drop_similar(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
