@@ -35,6 +35,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def opened(path: str):
+    """(Arrow file system, path on it) of a path in the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: what follows starts from files that outlive any executor."""
     path = scratch(df.sparkSession, name)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, scratch, small_batches, table
+from .common import gathered, opened, scratch, small_batches, table
 from .tokens import TOGETHER, encoder, public, read_spec
 
 LEAST_KEY = -(1 << 63)
@@ -76,12 +76,6 @@ class PerfectHash:
         return out
 
 
-def _opened(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder)
-
-
 def _name(shard: int, kind: str) -> str:
     return f"shard-{shard:06d}.{kind}"
 
@@ -95,7 +89,7 @@ def _save_index(folder: str, shard: int, keys: np.ndarray, lengths: np.ndarray,
         arrays[name][slot] = values
     parts = [*((f"level{i}", x) for i, x in enumerate(hashed.levels)), *arrays.items()]
     head = json.dumps({"width": width, "parts": [[n, a.dtype.str, len(a)] for n, a in parts]}).encode()
-    fs, path = _opened(folder)
+    fs, path = opened(folder)
     temporary = f"{path}/_{_name(shard, 'idx')}-{uuid.uuid4().hex}"
     with fs.open_output_stream(temporary) as out:
         out.write(len(head).to_bytes(8, "little") + head)
@@ -108,7 +102,7 @@ class Shard:
     """One shard's index, and its ids by key."""
 
     def __init__(self, folder: str, shard: int):
-        fs, path = _opened(folder)
+        fs, path = opened(folder)
         with fs.open_input_stream(f"{path}/{_name(shard, 'idx')}") as f:
             raw = f.read()
         n = int.from_bytes(raw[:8], "little")
@@ -152,7 +146,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
         for rows in gathered(batches, "text", TOGETHER):
             e = encoder(spec.value)
             if out is None:
-                fs, path = _opened(folder)
+                fs, path = opened(folder)
                 temporary = f"{path}/_{_name(shard, 'ids')}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(temporary)
             ids, counts = e.with_end(rows.column(1), end_id)
@@ -170,7 +164,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
         found = [np.array([shard], np.int32), np.array([key[0]]), np.array([len(key)]), np.array([length.sum()])]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["shard", "first", "docs", "ids"])
 
-    _opened(folder)[0].create_dir(_opened(folder)[1], recursive=True)
+    opened(folder)[0].create_dir(opened(folder)[1], recursive=True)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_KEY)).alias("key"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
     found = sorted(dealt.mapInArrow(store, "shard int, first long, docs long, ids long").collect(), key=lambda r: r["shard"])

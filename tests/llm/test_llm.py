@@ -237,13 +237,13 @@ def brute_hits(text, items):
             for p in range(len(words) - n + 1):
                 if words[p : p + n] == w[a : a + n]:
                     hit |= set(range(p, p + n))
-                    names.add(str(i))
-    return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
+                    names.add(None if i is None else str(i))
+    return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
 @pytest.mark.parametrize("block", [1, 1 << 20])
 def test_decontaminate(docs, empty, bench, block):
-    items = [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None]
+    items = [(r.item_id, r.text) for r in bench.collect()]
     found = decontaminate.mark_contaminated(docs, bench, block_bytes=block, shard_bytes=3000).collect()
     assert len(found) == docs.count() and any(r.contaminated for r in found)
     for r in found:
@@ -253,6 +253,18 @@ def test_decontaminate(docs, empty, bench, block):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontaminate_long_item(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(50_000)}" for _ in range(100_000)]
+    texts = [" ".join(words), " ".join(words[500:520]), " ".join(words[7:19]), "x " * 50 + " ".join(words[99_000:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = decontaminate.mark_contaminated(docs, item).orderBy("doc_id").collect()
+    assert [x.n_hit for x in found] == [100_000, 20, 0, 1000] and [x.hit_spans for x in found] == [[0, 100_000], [0, 20], [], [50, 1050]]
+    block = decontaminate.Block([("1", decontaminate.words_of(texts[0]))])
+    assert sum(x.nbytes for x in (block.text, block.item, block.at, block.whole)) < 40 * len(words)
+
+
 def test_longest_matches(docs, bench):
     found = {(r.item_id, r.item_word): r for r in decontaminate.longest_matches(docs, bench, least=2).collect()}
     every = {r.doc_id: decontaminate.words_of(r.text) for r in docs.filter("doc_id IS NOT NULL").collect()}
