@@ -393,23 +393,24 @@ def test_suffix_array(monkeypatch, small):
             assert prefix[b] == n
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_line_dedup(docs, empty, least):
+@pytest.mark.parametrize("least,size", [(1, 0), (2, 1 << 30), (2, 12), (3, 1 << 30), (5, 20)])
+def test_line_dedup(docs, empty, least, size):
     rows = sorted({(-1 if i is None else i, t) for i, t in plain(docs)}, key=lambda x: (x[0], x[1] or ""))
     first, gone = {}, {}
     # rows of one id are ordered by a hash; the null-id rows here share no lines
     for i, t in rows:
         lines = (t or "").split("\n")
-        for p in range(len(lines) - least + 1):
-            run = tuple(lines[p : p + least])
-            if first.setdefault(run, (i, p)) != (i, p):
-                gone.setdefault((i, t), set()).update(range(p, p + least))
-    for r in line_dedup.drop_repeated_runs(docs, least=least).collect():
+        for p in range(len(lines)):
+            for n in {least, 1}:
+                run = tuple(lines[p : p + n])
+                if len(run) == n and (n == least or len(run[0].encode()) >= size) and first.setdefault(run, (i, p)) != (i, p):
+                    gone.setdefault((i, t), set()).update(range(p, p + n))
+    for r in line_dedup.drop_repeated_runs(docs, least_lines=least, least_bytes=size).collect():
         if r.doc_id is None:
             continue
         lines, cut = (r.text or "").split("\n"), gone.get((r.doc_id, r.text), set())
-        if r.doc_id == 17 or r.text == texts()[17]:
-            assert r.n_removed == 0 or least == 1
+        if r.doc_id == 17 or r.text == texts()[17]:  # ids 17 and null share this text
+            assert r.n_removed == (0 if least > 1 and size > 1 << 20 else 1)
             continue
         kept = "\n".join(x for k, x in enumerate(lines) if k not in cut)
         assert (r.n_lines, r.n_removed, r.kept_text) == (len(lines), len(cut), kept)
@@ -417,6 +418,29 @@ def test_line_dedup(docs, empty, least):
     assert line_dedup.drop_repeated_runs(empty).count() == 0
 
 
+def test_line_runs_are_maximal(spark):
+    r = random.Random(6)
+    texts, lines = [], [f"line {k}" for k in range(70)]
+    for k in range(12):
+        a = r.randrange(60)
+        texts.append("\n".join([f"own {k}", *lines[a : a + r.randrange(2, 40)], *([f"x {k}"] if k % 2 else ["y", "y", "y", "y", "y"])]))
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    levels = line_dedup.suffix_ranks(spark.createDataFrame(rows, "id long, key long, text string"))
+    assert len(levels) > 3
+    split = [t.split("\n") for t in texts]
+    found = line_dedup.maximal_runs(levels).collect()
+    reach = {}
+    for x in found:
+        mine, its = split[x.id][x["at"] :], split[x.source.id][x.source["at"] :]
+        n = next((k for k, (a, b) in enumerate(zip(mine, its)) if a != b), min(len(mine), len(its)))
+        assert x.lines == n > 0 and (x.source.id, x.source["at"]) < (x.id, x["at"])
+        reach.setdefault(x.id, []).append((x["at"], x["at"] + n))
+    for i, own in enumerate(split):  # runs cover just the lines that occur earlier
+        for p, line in enumerate(own):
+            earlier = any(line in x for x in split[:i]) or line in own[:p]
+            assert earlier == any(a <= p < b for a, b in reach.get(i, ()))
+
+
 def test_language_id(spark, docs, empty):
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = base.filter("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0")
