@@ -60,6 +60,19 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def own_names(operator):
+    """An operator on rows whose columns may have any name: those that begin like internal ones (__) are set aside."""
+    from functools import wraps
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        aside = {c: f"aside {c}" for c in docs.columns if c.startswith("__")}
+        out = operator(docs.withColumnsRenamed(aside), *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, n_rows: int, most: int = 10_000) -> DataFrame:
     """Left-joins groups (one row per key, `size` rows of `rows` each) to rows.
 

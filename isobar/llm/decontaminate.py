@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, opened, scratch, small_batches, table, without
+from .common import add_columns, opened, own_names, scratch, small_batches, table, without
 
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 WINDOW = 13
@@ -238,6 +238,7 @@ def _searched(rows, paths: list[str], text_col: str) -> dict:
     return {"n_words": n_words, "hit_spans": [spans.get(k, []) for k in range(len(docs))], "hit_items": [in_order(k) for k in range(len(docs))]}
 
 
+@own_names
 def mark_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20, keep_text: bool = True,

@@ -1,10 +1,10 @@
 """Exact dedup: two-pass Bloom filtering, DataFrame operations only.
 
-Pass 1 hashes every text into one bit slot of a Bloom filter that is spread over the cluster as counted slots; slots
-hit twice or more are folded into `words` 64-bit words, a size fixed in advance. Pass 2 probes those words by a
-broadcast join: a row whose slot is clear has a unique text and passes straight through. Only the other rows are
-shuffled, by the SHA-256 of their text, where false positives of the filter fall out. A larger corpus sets more bits,
-so more rows take the shuffled way; no row is ever decided by the filter alone.
+Pass 1 hashes every text into one slot of a filter that is spread over the cluster, 16 slots a row or more: what is shuffled
+is a slot number a row, combined before. Slots that are hit twice are folded into the bits of the filter that pass 2
+probes: about 16 bits for each, in chunks of 64 words, `most_words` words in all at most (64 MB), which bounds the
+broadcast. A row whose bit is clear has a unique text and passes straight through. Only the other rows are shuffled, by the
+SHA-256 of their text, where false positives fall out; beyond the bound more rows take that way, and results stay the same.
 
 Null text counts as empty. Texts are equal when identical after lower-casing A-Z. The row with the largest id stays
 (a null id is smaller than any other); of repeated rows with that id exactly one stays. An empty table gives an empty
@@ -16,46 +16,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, cut, table, without
+from .common import ascii_lower, attach, cut, own_names, table, without
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
-WORDS = 1 << 19
+MOST_WORDS = 1 << 23
+CHUNK = 64
 
 
 def _slot(slots: int):
     return F.pmod(F.xxhash64("text_sha256"), F.lit(slots))
 
 
-def repeated_words(hashes: DataFrame, slots: int, words: int = WORDS) -> DataFrame:
-    """(word, bits): the slots that two or more rows hit, folded; at most `words` rows."""
-    twice = hashes.groupBy(_slot(slots).alias("slot")).count().filter("count > 1")
+def repeated_slots(hashes: DataFrame, slots: int) -> DataFrame:
+    """The slots that two or more rows hit."""
+    return hashes.groupBy(_slot(slots).alias("slot")).count().filter("count > 1").select("slot")
+
+
+def filter_chunks(repeated: DataFrame, words: int) -> DataFrame:
+    """(__chunk, __bits): the slots folded into so many words, 64 words an array; at most words / 64 rows."""
     bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
-    return twice.groupBy(F.pmod(F.shiftright("slot", 6), F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    word = repeated.groupBy(F.pmod(F.shiftright("slot", 6), F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = F.map_from_entries(F.collect_list(F.struct((F.col("word") % CHUNK).cast("int").alias("at"), "bits")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.coalesce(F.element_at("held", i), F.lit(0).cast("long")))
+    return word.groupBy(F.floor(F.col("word") / CHUNK).alias("__chunk")).agg(held.alias("held")).select("__chunk", dense.alias("__bits"))
 
 
-def _probed(rows: DataFrame, filter_words: DataFrame, slots: int, words: int) -> DataFrame:
-    """rows with maybe: whether the filter has the row's slot."""
+def _probed(rows: DataFrame, chunks: DataFrame, slots: int, words: int) -> DataFrame:
+    """rows with __maybe: whether the filter has the row's slot."""
     at = rows.withColumn("__slot", _slot(slots))
-    hit = at.join(F.broadcast(filter_words), F.pmod(F.shiftright("__slot", 6), F.lit(words)) == F.col("word"), "left")
-    maybe = F.coalesce(F.expr("(shiftright(bits, CAST(__slot & 63 AS INT)) & 1) = 1"), F.lit(False))
-    return hit.withColumn("__maybe", maybe).drop("word", "bits", "__slot")
+    word = F.pmod(F.shiftright("__slot", 6), F.lit(words))
+    hit = at.join(F.broadcast(chunks.withColumnRenamed("__chunk", "__c")), F.floor(word / CHUNK) == F.col("__c"), "left")
+    bits = F.element_at("__bits", (word % CHUNK).cast("int") + 1)
+    maybe = F.coalesce(F.call_function("shiftright", bits, F.col("__slot").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return hit.withColumn("__maybe", maybe).drop("__c", "__bits", "__slot")
 
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+@own_names
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """All rows and columns of docs with keep_id, group_size, kept and text_sha256."""
     rows = without(docs, ADDED).withColumn("text_sha256", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
     hashes = cut(rows.select(F.col(id_col).alias("__id"), "text_sha256"), "dedup-hashes")
     n_rows = hashes.count()
     slots = max(1 << 10, 1 << (16 * n_rows).bit_length())
-    filter_words = cut(repeated_words(hashes, slots, words), "dedup-filter")
-    by_id = _probed(hashes, filter_words, slots, words).filter("__maybe").groupBy("text_sha256", "__id").count()
+    repeated = cut(repeated_slots(hashes, slots), "dedup-slots")
+    words = min(most_words, max(1 << 10, 1 << (repeated.count() // 4).bit_length()))
+    chunks = cut(filter_chunks(repeated, words), "dedup-filter")
+    by_id = _probed(hashes, chunks, slots, words).filter("__maybe").groupBy("text_sha256", "__id").count()
     groups = cut(
         by_id.groupBy("text_sha256").agg(
             F.max_by("__id", F.struct(F.col("__id").isNotNull(), "__id")).alias("keep_id"), F.sum("count").alias("group_size")
         ).filter("group_size > 1"),
         "dedup-groups",
     )
-    probed = _probed(rows, filter_words, slots, words)
+    probed = _probed(rows, chunks, slots, words)
     passing = probed.filter("NOT __maybe").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     own = F.col(id_col).eqNullSafe(F.col("keep_id"))
     once = F.row_number().over(Window.partitionBy("text_sha256", id_col).orderBy(F.lit(0)))

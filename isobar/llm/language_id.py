@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, table, without
+from .common import add_columns, own_names, table, without
 
 ADDED = ["lang_pred", "score"]
 #: Presence tables of 1-grams to 4-grams.
@@ -128,6 +128,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model([r["part"] for r in sample], [r["lang"] for r in sample], landmarks, ridge, width)
 
 
+@own_names
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """All rows and columns of docs with lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, bloom_probe, bloom_words, cut, table, without
+from .common import add_columns, attach, bloom_probe, bloom_words, cut, own_names, table, without
 
 ADDED = ["n_lines", "n_removed", "n_runs", "kept_sha256"]
 PLACE = ["id", "key", "at"]
@@ -123,6 +123,7 @@ def _dropped(rows, text_col: str) -> dict:
     return out
 
 
+@own_names
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2, least_bytes: int = 32, keep_text: bool = True) -> DataFrame:
     """All rows and columns of docs with n_lines, n_removed, n_runs, kept_sha256 and, with keep_text, kept_text."""
     base = without(docs, [*ADDED, "kept_text"])

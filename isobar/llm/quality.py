@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, table, without
+from .common import add_columns, own_names, table, without
 
 ADDED = ["expected_grade", "tail_prob", "selected"]
 TABLE = 1 << 18
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     return Model(ids, arrow.column("grade").to_pylist(), **options)
 
 
+@own_names
 def grade(docs: DataFrame, model: Model, accept: int, text_col: str = "text", least: float = 0.5, keep_text: bool = True) -> DataFrame:
     """All rows and columns of docs with expected_grade, tail_prob (of a grade of `accept` or more) and selected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

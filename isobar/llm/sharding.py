@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, table, without
+from .common import cut, numbered, own_names, table, without
 
 ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
@@ -60,6 +60,7 @@ def minimax_cuts(prefix: DataFrame, shards: int, probes: int = 48) -> tuple[int,
         low, high = tested[fits - 1] + 1, tested[fits]
 
 
+@own_names
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with size, text_crc32, law, shard, slot and grown_shard (null: the law is bytes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))

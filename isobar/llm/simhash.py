@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, components, cut, small_batches, table, without
+from .common import add_columns, attach, components, cut, own_names, small_batches, table, without
 
 ADDED = ["fingerprint", "component_id", "component_fp"]
 
@@ -90,6 +90,7 @@ def links(fingerprints: DataFrame, distance: int = 2, blocks: int = 5, most: int
     return pairs.unionByName(stars.join(centre, ["seed", "hub"]).filter("fp <> u").select("seed", "u", F.col("fp").alias("v")).distinct())
 
 
+@own_names
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, keep_text: bool = True) -> DataFrame:
     """All rows and columns of docs with fingerprint (16 hex digits), component_id and component_fp, its smallest fingerprint (signed order)."""
     rows = with_fingerprints(without(docs, ADDED), text_col, "__fp", shingle)

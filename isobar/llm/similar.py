@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, bloom_probe, bloom_words, components, cut, gathered, small_batches, tidy, without
+from .common import add_columns, attach, bloom_probe, bloom_words, components, cut, gathered, own_names, small_batches, tidy, without
 
 SHINGLE = 5
 BLOCKS = 32
@@ -230,6 +230,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return maybe.filter("NOT __maybe").drop(*gone), met.drop(*gone, "__n")
 
 
+@own_names
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with component_id."""
     free, met = _grouped(docs, id_col, text_col)
@@ -237,6 +238,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return free.withColumn("component_id", F.col(id_col)).unionByName(met.withColumn("component_id", own).drop("__node"))
 
 
+@own_names
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that of its smallest id, in docs' columns."""
     free, met = _grouped(docs, id_col, text_col)

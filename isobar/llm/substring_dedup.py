@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, bloom_probe, bloom_words, cut, release, small_batches, table, without
+from .common import add_columns, bloom_probe, bloom_words, cut, own_names, release, small_batches, table, without
 from .sais import permuted_prefixes, suffix_array
 
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -233,6 +233,7 @@ def _removed(rows, text_col: str) -> dict:
     return out
 
 
+@own_names
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 4000, shard_bytes: int = 2 << 20, keep_text: bool = True,
 ) -> DataFrame:

@@ -78,10 +78,29 @@ def test_exact_dedup(docs, empty):
     assert len(kept) == len(groups) and set(kept.values()) == {1}
     assert exact_dedup.drop_duplicates(docs).columns == docs.columns
     assert exact_dedup.mark_duplicates(empty).count() == 0
-    tiny = exact_dedup.mark_duplicates(docs, words=1)  # a filter that is full
+    tiny = exact_dedup.mark_duplicates(docs, most_words=1)  # a filter that is full
     assert rows_of(tiny, "doc_id", "keep_id", "kept", "text_sha256") == rows_of(found, "doc_id", "keep_id", "kept", "text_sha256")
 
 
+INTERNAL = "__maybe __key __fp __g __chunk __k1 __k2 __slot __bits __c __n __node __runs __spans __row __start word bits slot n m node set text_key Law".split()
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        exact_dedup.mark_duplicates, sharding.shard, simhash.near_duplicates, similar.similar, similar.drop_similar, line_dedup.drop_repeated_runs, substring_dedup.remove_repeats,
+        lambda d: decontaminate.mark_contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id = 16")),
+        lambda d: quality.grade(d, quality.Model([], []), 2), lambda d: language_id.identify(d, language_id.Model([], [], 4, 0.1, 100)),
+    ],
+)
+def test_clashing_names(docs, operator):
+    names = [n for n in INTERNAL if not (operator is sharding.shard and n in ("slot", "Law"))]  # shard adds these two
+    few = docs.filter("doc_id < 20").select("doc_id", "text")
+    found = operator(few.withColumns({n: F.col("doc_id") + i for i, n in enumerate(names)}))
+    assert set(names) <= set(found.columns) and operator(few).count() == found.count()
+    assert all(r[n] == r.doc_id + i for r in found.collect() for i, n in enumerate(names))
+
+
 def best_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
