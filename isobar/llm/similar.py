@@ -3,8 +3,8 @@
 A text's fingerprint is the SimHash of its set of words, as many bits as `BLOCKS` blocks need; a block is a few bits wider
 than the number of texts has binary digits, so that unlike texts seldom meet whatever their number. Texts that share
 four fifths of their shingles differ in about a twentieth of the bits and so share some of the blocks. They are joined
-on the blocks and kept if a further 128 fingerprint bits are within the Hamming distance; a block that over `MOST`
-texts share gives a star instead of pairs. What is linked so far is a candidate group, and a superset of the answer.
+on the blocks and linked if a further 128 fingerprint bits are within the Hamming distance; over `MOST` texts on a block
+that are unlike its first ones are linked without. What is linked so far is a candidate group, and a superset of the answer.
 
 Each candidate group is then verified exactly, on sets of 64-bit hashes of shingles: `CHUNK` texts at a time meet in one
 task, where all their similarities are one matrix product. Of a group of several chunks, each chunk is verified alone,
@@ -27,10 +27,10 @@ from .common import add_columns, attach, bloom_probe, bloom_words, components, c
 
 SHINGLE = 5
 BLOCKS = 32
-MOST = 64
+MOST = 16
 #: Bits of 128 in which candidates may differ; copies at 0.8 differ in some 8, and seldom in over 24.
 NEAR = 36
-CHUNK, CHUNK_WORDS = 256, 200_000
+CHUNK, CHUNK_WORDS = 128, 100_000
 _ODD = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 63, 40, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -88,17 +88,33 @@ def _text_keys(text_col: str) -> list[Column]:
     return [F.xxhash64(F.lit(x), text).alias(n) for x, n in ((11, "__k1"), (12, "__k2"))]
 
 
+def _differ(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}f1").bitwiseXOR(F.col(f"{b}f1"))) + F.bit_count(F.col(f"{a}f2").bitwiseXOR(F.col(f"{b}f2")))
+
+
 def candidates(each: DataFrame, n_texts: int) -> DataFrame:
-    """(node, label): groups of texts that blocks and Hamming distance link, of each(node, blocks, f1, f2)."""
+    """(node, label): groups of texts that blocks and Hamming distance link, of each(node, blocks, f1, f2).
+
+    Of the texts on a block those near its first text are linked with that, then those of the rest near the rest's first
+    text, and what is still left in pairs, so that copies make one edge a block each and not all their pairs.
+    """
     block = F.posexplode("blocks").alias("b", "x")
-    dealt = each.select("node", "f1", "f2", block).select("node", "f1", "f2", (F.shiftleft(F.col("b").cast("long"), 40) + F.col("x")).alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).filter("m > 1")
-    met = cut(attach(dealt, shared, "key", "m", n_texts).filter("m IS NOT NULL"), "similar-met")
-    few = met.filter(F.col("m") <= MOST)
-    differ = F.bit_count(F.col("a.f1").bitwiseXOR(F.col("b.f1"))) + F.bit_count(F.col("a.f2").bitwiseXOR(F.col("b.f2")))
-    pairs = few.alias("a").join(few.alias("b"), "key").filter((F.col("a.node") < F.col("b.node")) & (differ <= NEAR))
-    stars = met.filter((F.col("m") > MOST) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    return components(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).unionByName(stars), "similar-groups")
+    rest = each.select("node", "f1", "f2", block).select("node", "f1", "f2", (F.shiftleft(F.col("b").cast("long"), 40) + F.col("x")).alias("key"))
+    edges = None
+    for k in range(2):
+        first = rest.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "f1", "f2")).alias("hub")).filter("m > 1")
+        met = attach(rest, first, "key", "m", n_texts).filter("m IS NOT NULL AND node <> hub.node")
+        met = cut(met.select("key", "node", "f1", "f2", F.col("hub.node").alias("hub"), (_differ("", "hub.") <= NEAR).alias("near")), f"similar-met-{k}")
+        near = met.filter("near").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        edges = near if edges is None else edges.unionByName(near)
+        rest = met.filter("NOT near").select("key", "node", "f1", "f2")
+    left = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).filter("m > 1")
+    left = cut(attach(rest, left, "key", "m", n_texts).filter("m IS NOT NULL"), "similar-met-rest")
+    few = left.filter(F.col("m") <= MOST)
+    pairs = few.alias("a").join(few.alias("b"), "key").filter((F.col("a.node") < F.col("b.node")) & (_differ("a.", "b.") <= NEAR))
+    stars = left.filter((F.col("m") > MOST) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    edges = edges.unionByName(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))).unionByName(stars)
+    return components(edges, "similar-groups")
 
 
 def alike(sets: list[np.ndarray]) -> np.ndarray:
