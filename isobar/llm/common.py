@@ -86,16 +86,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str,
     return rows.join(large, by).unionByName(rest.join(groups.filter(~hot), by, "left"))
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, spread: str, n_rows: int, per_chunk: int = 100_000) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, spread: str, chunks: Column) -> DataFrame:
     """Adds `name`: gapless numbers from 0 within each value of `by`, without gathering a value in one task.
 
-    Rows are dealt to chunks by a hash of the column `spread`; each chunk is numbered alone and starts where
-    those before it end. The chunk sizes number (values of `by`) * n_rows / per_chunk at most.
+    Rows are dealt to `chunks` (a number for each value of `by`) by a hash of the column `spread`; each chunk is numbered
+    alone and starts where those before it end.
     """
     from pyspark.sql import Window
 
-    chunks = max(1, min(1 << 16, n_rows // per_chunk + 1))
-    dealt = rows.withColumn("__chunk", F.pmod(F.xxhash64(F.col(spread)), F.lit(chunks)).cast("int"))
+    dealt = rows.withColumn("__chunk", F.pmod(F.xxhash64(F.col(spread)), chunks.cast("long")).cast("int"))
     sizes = dealt.groupBy(*by, "__chunk").count()
     starts = sizes.select(
         *by, "__chunk", (F.sum("count").over(Window.partitionBy(*by).orderBy("__chunk")) - F.col("count")).alias("__start")

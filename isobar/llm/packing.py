@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, gathered, numbered, small_batches, table
 from .tokens import TOGETHER, encoder, public, read_spec
 
+PER_CHUNK = 1000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -136,8 +137,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
             offset[i] = offsets[base[at] + step % each[at]]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    total = int(counts.sum())
-    out = numbered(rows, ["length"], ["doc_id", "piece"], "__number", "doc_id", total, per_chunk=max(100_000, total // 1000))
+    # so many chunks for each length that each has about `PER_CHUNK` pieces, whatever the number of documents
+    chunks = F.element_at(F.array(*[F.lit(int(n) // PER_CHUNK + 1) for n in counts]), F.col("length").cast("int") + 1)
+    out = numbered(rows, ["length"], ["doc_id", "piece"], "__number", "doc_id", chunks)
     return out.withColumn("__at", place("length", "__number")).select(*rows.columns, "__at.sequence_id", "__at.offset")
 
 

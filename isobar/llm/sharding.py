@@ -76,7 +76,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     cuts = [last.get(e, "") for e in ends]  # the last group of each run; "": the run is empty
     number = reduce(lambda a, b: a + b, [(F.col("__g") > c).cast("int") for c in cuts], F.lit(0))
     placed = rows.withColumns({"law": F.lit("bytes"), "shard": number, "grown_shard": F.lit(None).cast("int")})
-    return numbered(placed, ["shard"], [id_col, "__g"], "slot", id_col, n_rows).drop("__g")
+    return numbered(placed, ["shard"], [id_col, "__g"], "slot", id_col, F.lit(n_rows // 20_000 + 1)).drop("__g")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

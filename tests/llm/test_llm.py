@@ -171,7 +171,7 @@ def components_of(rows):
     return [low[x] for x in label]
 
 
-@pytest.mark.parametrize("chunk,most", [(256, 64), (4, 2), (2, 1)])
+@pytest.mark.parametrize("chunk,most", [(128, 16), (4, 2), (2, 1)])
 def test_similar_finds_all(spark, docs, empty, monkeypatch, chunk, most):
     monkeypatch.setattr(similar, "CHUNK", chunk)
     monkeypatch.setattr(similar, "MOST", most)
@@ -187,7 +187,7 @@ def test_similar_finds_all(spark, docs, empty, monkeypatch, chunk, most):
             rows.append((1000 + 10 * k + n, " ".join(changed)))
     found = similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((x.doc_id, x.text, x.component_id) for x in found) == Counter((i, t, c) for (i, t), c in zip(rows, components_of(rows)))
-    if chunk == 256:
+    if chunk == 128:
         kept = similar.drop_similar(docs)
         assert kept.columns == docs.columns and similar.similar(empty).count() == 0 and similar.drop_similar(empty).count() == 0
         plain_rows = plain(docs)
@@ -355,6 +355,8 @@ def test_packing(docs, empty):
     assert Counter(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
     for _, s in found.sort_values("offset").groupby("sequence_id"):
         assert s.length.sum() <= 64 and (s.length.cumsum() - s.length).tolist() == s.offset.tolist()
+    lower = -(-int(found.length.sum()) // 64)
+    assert lower <= found.sequence_id.nunique() <= 1.1 * lower
     assert packing.pack(empty, tokens.public("word_bpe_49k.json")).count() == 0
 
 
@@ -369,6 +371,10 @@ def test_plan():
             assert sum(bin_) <= 100
             np.add.at(used, bin_, times)
         assert (used == counts).all()
+    for law in (r.geometric(0.004, 20_000), r.integers(1, 2049, 5000), np.concatenate((np.full(4000, 2048), r.integers(1, 2049, 9000)))):
+        counts = np.bincount(np.clip(law, 1, 2048), minlength=2049)
+        lower = -(-int((counts * np.arange(2049)).sum()) // 2048)
+        assert lower <= sum(times for times, _ in packing.plan(counts, 2048)) <= 1.01 * lower + 1
     # 60 + 25 leaves 15; two pieces of 20 fit the gap of 40 without 25
     assert packing.plan(np.bincount([60, 25, 20, 20], minlength=101), 100)[0] == (1, [60, 20, 20])
 
