@@ -2,17 +2,16 @@
 
 Suffixes are classified as smaller or larger than the next one; the leftmost smaller ones' substrings are sorted by one
 round of inducing and named; if names repeat, the string of names is sorted recursively; from the order of the
-leftmost smaller suffixes one more round induces all. A round handles a bucket at a time with array operations. A
-string of names with more than SMALL of them, whose buckets would be many and tiny, ends the recursion: it is sorted
-by rank doubling.
+leftmost smaller suffixes one more round induces all. Where buckets are large, as in the bytes themselves, a round handles
+a bucket at a time with array operations; where they are many and small, as in strings of names, a suffix at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are sorted by inducing.
-SMALL = 1024
+#: Buckets of this many suffixes on average, or more, are handled by array operations.
+PER_BUCKET = 64
 
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
@@ -38,7 +37,7 @@ def _deal(out: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray) -> N
 
 
 def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    """The order of all suffixes from that of the leftmost smaller ones; s has type int16."""
+    """The order of all suffixes from that of the leftmost smaller ones; s has a small type."""
     none = np.zeros(0, np.int64)
     seeded: list[list[np.ndarray]] = [[] for _ in range(k)]
     _deal(seeded, seeds, s[seeds])
@@ -81,28 +80,30 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.n
     return order if len(order) == len(s) else np.concatenate(([len(s) - 1], order))
 
 
-def _ranked(s: np.ndarray) -> np.ndarray:
-    """The order of all suffixes by rank doubling, where each round sorts only those that aren't told apart yet."""
-    n = len(s)
-    order = np.argsort(s, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], s[order][1:] != s[order][:-1])))
-    size = np.diff(np.concatenate((first, [n])))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(first, size)
-    active, k = order[np.repeat(size, size) > 1], 1
-    while len(active):
-        key = rank[active] * n + rank[np.minimum(active + k, n - 1)]
-        sort = np.argsort(key)
-        active, key = active[sort], key[sort]
-        own = rank[active]
-        group = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        part = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.concatenate((part, [len(key)])))
-        rank[active] = own + np.repeat(part, size) - np.repeat(group, np.diff(np.concatenate((group, [len(key)]))))
-        active, k = active[np.repeat(size, size) > 1], 2 * k
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+def _induce_each(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """The same for many small buckets, a suffix at a time."""
+    size = np.bincount(s, minlength=k)
+    ends = np.cumsum(size)
+    symbol, is_small = s.tolist(), small.tobytes()
+    order, tail, head = [-1] * len(s), ends.tolist(), (ends - size).tolist()
+    for i in seeds[::-1].tolist():
+        c = symbol[i]
+        tail[c] -= 1
+        order[tail[c]] = i
+    for at in range(len(s)):  # the list grows ahead of the place
+        i = order[at] - 1
+        if i >= 0 and not is_small[i]:
+            c = symbol[i]
+            order[head[c]] = i
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(len(s) - 1, -1, -1):
+        i = order[at] - 1
+        if i >= 0 and is_small[i]:
+            c = symbol[i]
+            tail[c] -= 1
+            order[tail[c]] = i
+    return np.array(order, np.int64)
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
@@ -110,14 +111,13 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
-    if k > SMALL:
-        return _ranked(s)
     small = smaller_types(s)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    s = s.astype(np.int16)
+    induce = _induce if n >= PER_BUCKET * k else _induce_each
+    s = s.astype(np.int16 if k < 1 << 15 else np.int32)
     is_left = np.zeros(n, bool)
     is_left[leftmost] = True
-    first = _induce(s, small, leftmost, k)
+    first = induce(s, small, leftmost, k)
     ordered = first[is_left[first]]
     following = np.full(n, n - 1, np.int64)
     following[leftmost[:-1]] = leftmost[1:]
@@ -136,7 +136,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         named = np.zeros(n, np.int64)
         named[ordered] = names
         ordered = leftmost[suffix_array(named[leftmost], int(names[-1]) + 1)]
-    return _induce(s, small, ordered, k)
+    return induce(s, small, ordered, k)
 
 
 def permuted_prefixes(s: np.ndarray, order: np.ndarray, most: int, every: int = 16) -> np.ndarray:

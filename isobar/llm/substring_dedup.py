@@ -5,8 +5,10 @@ its 32-byte pieces, which depends on the string alone: equal strings, wherever t
 strings with one anchor position form a stretch, so every string starts in just one stretch, and a stretch holds no
 string twice. Only stretches whose anchor occurs again move on. Those of one anchor go to one shard, equal stretches as
 one with their number; the shard's suffix array and permuted common prefixes tell which starts share `length` bytes
-with another start. An anchor with more than `most` different stretches is not gathered: its strings are counted by
-128-bit hashes over the whole cluster, with the same outcome.
+with another start. An anchor with more than `most` different stretches is not gathered: its stretches are parted by how far
+their strings begin before the anchor, in halves, and go to shards by the bytes that all strings of such a half share,
+which equal strings have in common. Halves are parted again until no shard has too many; those of one string each are
+alike or apart.
 
 Every byte that a repeated string covers is removed, all copies included; strings are judged on the input. Null is
 empty, texts shorter than `length` lose nothing, matches never cross documents. Rows repeated in all of id and text are
@@ -149,27 +151,37 @@ def _judged(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, same long, found array<int>")
 
 
-def _counted(parts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of many stretches, by the hashes of all their strings."""
+def _parted(parts: DataFrame, length: int, width: int) -> DataFrame:
+    """(anchor, same, shift, starts, anchor2, same2): the stretches parted by their starts' distances from the anchor, `width` a part."""
 
     def run(batches):
         import pyarrow as pa
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
+        names = ["anchor", "same", "shift", "starts", "anchor2", "same2"]
         for batch in batches:
-            for a, s, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(b) - length + 1
-                h = np.frombuffer(b"".join([xxh3_128_digest(b[i : i + length]) for i in range(n)]), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, a)), pa.array(np.full(n, s)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                    ["anchor", "same", "at", "h1", "h2"],
-                )
-
-    rows = parts.dropDuplicates(["anchor", "same"]).mapInArrow(run, "anchor long, same long, at int, h1 long, h2 long")
-    rows = cut(rows, "substring-strings")
-    again = rows.groupBy("h1", "h2").count().filter("count > 1").drop("count")
-    at = rows.join(again, ["h1", "h2"]).groupBy("anchor", "same").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("found"))
-    return at.select("anchor", "same", "found")
+            rows = []
+            for anchor, same, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                p = int(piece_hashes(np.frombuffer(data, np.uint8))[: length - PIECE + 1].argmin())
+                last = len(data) - length
+                for k in range(max(0, p - last) // width, p // width + 1):
+                    low, high = max(0, p - (k + 1) * width + 1), min(last, p - k * width)
+                    shared = data[p - k * width : p - (k + 1) * width + 1 + length]
+                    route = xxh3_64_intdigest(shared + anchor.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little"), width)
+                    rows.append((anchor, same, low, high - low + 1, route, xxh3_64_intdigest(data[low : high + length])))
+            columns = [np.array(c, np.uint64).view(np.int64) if i > 3 else np.array(c, np.int64 if i < 2 else np.int32) for i, c in enumerate(zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return parts.select("anchor", "same", "bytes").mapInArrow(run, "anchor long, same long, shift int, starts int, anchor2 long, same2 long")
+
+
+def _with_bytes(rows: DataFrame, wanted: DataFrame, length: int, name: str) -> DataFrame:
+    """(anchor, same, bytes) of wanted(anchor, same, k1, k2, first, starts), from rows(k1, k2, text)."""
+    lists = cut(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "same", "first", "starts")).alias("parts")), f"{name}-lists")
+    texts = bloom_probe(rows, bloom_words(lists, "k1"), "k1")
+    at, size = F.col("p.first") + 1, F.col("p.starts") + length - 1
+    each = texts.join(lists, ["k1", "k2"]).select(F.col("text").cast("binary").alias("text"), F.explode("parts").alias("p"))
+    return cut(each.select("p.anchor", "p.same", F.substring(F.col("text"), at, size).alias("bytes")), name)
 
 
 def row_keys(id_col: str, text_col: str) -> list[Column]:
@@ -177,6 +189,17 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.lit(x), F.col(id_col), F.col(text_col)).alias(n) for x, n in ((1, "k1"), (2, "k2"))]
 
 
+def _met_again(rows: DataFrame, met: DataFrame, hot: DataFrame, length: int, width: int) -> DataFrame:
+    """met with the stretches of hot anchors parted."""
+    parts = _parted(_with_bytes(rows, hot, length, "substring-hot"), length, width).dropDuplicates(["anchor", "same", "shift"])
+    parts = cut(parts, "substring-parted")
+    anchors = hot.select("anchor").distinct()
+    old = met.join(anchors, "anchor", "left_anti")
+    new = met.withColumnRenamed("starts", "all_starts").join(parts, ["anchor", "same"])
+    new = new.select(F.col("anchor2").alias("anchor"), "k1", "k2", (F.col("first") + F.col("shift")).alias("first"), "starts", F.col("same2").alias("same"))
+    return cut(old.unionByName(new), "substring-met")
+
+
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, most: int, shard_bytes: int) -> DataFrame:
     """(k1, k2, spans): the repeated strings' first and end bytes in a row, unmerged."""
     rows = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text"))
@@ -186,23 +209,21 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, mos
     met = cut(every.join(again, "anchor"), "substring-met")
     release(docs.sparkSession)
     sample = F.min(F.struct("k1", "k2", "first", "starts")).alias("one")
-    each = cut(met.groupBy("anchor", "same").agg(F.count("*").alias("n"), sample), "substring-each")
-    kinds = each.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    width = 1 << (length - PIECE).bit_length()
+    while True:
+        each = cut(met.groupBy("anchor", "same").agg(F.count("*").alias("n"), sample), "substring-each")
+        kinds = each.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        wanted = cut(each.join(kinds, "anchor").select("anchor", "same", "n", "kinds", "one.*"), "substring-wanted")
+        hot = wanted.filter(F.col("kinds") > most)
+        if width == 1 or not hot.head(1):
+            break
+        width //= 2
+        met = _met_again(rows, met, hot, length, width)
     single = each.filter("n > 1").select("anchor", "same", F.array(F.lit(0), F.col("one.starts")).alias("found"))
-    wanted = each.join(kinds.filter("kinds > 1"), "anchor").select("anchor", "same", "n", "kinds", "one.*")
-    lists = cut(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "same", "n", "kinds", "first", "starts")).alias("parts")), "substring-lists")
-    texts = bloom_probe(rows, bloom_words(lists, "k1"), "k1")
-    slices = F.col("p.first"), F.col("p.starts") + length - 1
-    parts = (
-        texts.join(lists, ["k1", "k2"]).select(F.col("text").cast("binary").alias("text"), F.explode("parts").alias("p"))
-        .select("p.anchor", "p.same", F.substring(F.col("text"), slices[0] + 1, slices[1]).alias("bytes"), "p.n", "p.kinds")
-    )
-    parts = cut(parts, "substring-parts")
+    judged = _judged(_with_bytes(rows, wanted, length, "substring-parts"), length, shard_bytes)
     release(docs.sparkSession)
-    judged = _judged(parts.filter(F.col("kinds") <= most).select("anchor", "same", "bytes"), length, shard_bytes)
-    counted = _counted(parts.filter(F.col("kinds") > most).select("anchor", "same", "bytes"), length)
     once = each.filter("n = 1").select("anchor", "same")
-    found = single.unionByName(judged.unionByName(counted).join(once, ["anchor", "same"]))
+    found = single.unionByName(judged.join(once, ["anchor", "same"]))
     found = cut(found.filter(F.size("found") > 0), "substring-found")
     spans = met.join(found, ["anchor", "same"]).select(
         "k1", "k2", F.transform("found", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, length - 1).otherwise(0)).alias("s")
@@ -235,7 +256,7 @@ def _removed(rows, text_col: str) -> dict:
 
 @own_names
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 4000, shard_bytes: int = 2 << 20, keep_text: bool = True,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 500, shard_bytes: int = 1 << 20, keep_text: bool = True,
 ) -> DataFrame:
     """All rows and columns of docs with n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept_text (binary: a cut may part a character)."""
     rows = without(docs, [*ADDED, "kept_text"])

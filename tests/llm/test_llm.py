@@ -393,7 +393,7 @@ def brute_removed(all_texts, length):
         yield len(x), int(mark.sum()), runs, hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~mark])).hexdigest()
 
 
-@pytest.mark.parametrize("length,most,shard", [(200, 4000, 1 << 20), (200, 1, 1 << 20), (60, 4000, 600)])
+@pytest.mark.parametrize("length,most,shard", [(200, 500, 1 << 20), (200, 1, 1 << 20), (60, 3, 600)])
 def test_substring_dedup(docs, empty, length, most, shard):
     every = plain(docs)
     want = Counter((i, *x) for (i, _), x in zip(every, brute_removed([t for _, t in every], length)))
@@ -402,9 +402,10 @@ def test_substring_dedup(docs, empty, length, most, shard):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("small", [0, 1024])
-def test_suffix_array(monkeypatch, small):
-    monkeypatch.setattr(sais, "SMALL", small)
+@pytest.mark.parametrize("per_bucket", [0, 64])
+def test_suffix_array(monkeypatch, per_bucket):
+    monkeypatch.setattr(sais, "PER_BUCKET", per_bucket)
+    assert not hasattr(sais, "_ranked") and not hasattr(substring_dedup, "_counted")
     for seed in range(150):
         r = np.random.default_rng(seed)
         s = np.concatenate((r.integers(1, 4, r.integers(0, 80)), [0]))
@@ -418,6 +419,13 @@ def test_suffix_array(monkeypatch, small):
             assert prefix[b] == n
 
 
+def test_suffix_array_of_texts():
+    s = np.concatenate([np.frombuffer((t or "").encode(), np.uint8).astype(np.int64) + 2 for t in texts() * 3] + [np.zeros(1, np.int64)])
+    order, raw = sais.suffix_array(s, 258), s.astype(">u2").tobytes()
+    assert sorted(order.tolist()) == list(range(len(s)))
+    assert all(raw[2 * a : 2 * a + 40_000] <= raw[2 * b : 2 * b + 40_000] for a, b in zip(order[::7], order[1::7]))
+
+
 @pytest.mark.parametrize("least,size", [(1, 0), (2, 1 << 30), (2, 12), (3, 1 << 30), (5, 20)])
 def test_line_dedup(docs, empty, least, size):
     rows = sorted({(-1 if i is None else i, t) for i, t in plain(docs)}, key=lambda x: (x[0], x[1] or ""))
