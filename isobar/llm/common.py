@@ -46,7 +46,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: what follows starts from files that outlive any executor."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables from cut, when all that was derived from them has been written as well."""
+    for df in tables:
+        drop_path(df.sparkSession, df.cut_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -122,26 +130,39 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     nodes by these, so that edges within a group fall away and later rounds have few. Tables are written to the shared
     folder; minima are combined before any shuffle.
     """
-    left = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), f"{name}-edges")
+    pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    renamed = lambda df: df.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    left = cut(edges.select(*pair).filter("u < v").distinct(), f"{name}-edges")
     found = None
     while left.head(1):
         ends = left.select(F.col("u").alias("node"), F.col("u").alias("label")).unionByName(left.select(F.col("v").alias("node"), F.col("u").alias("label")))
         point = cut(ends.groupBy("node").agg(F.min("label").alias("label")), f"{name}-points")
         while True:
-            far = point.select(F.col("node").alias("label"), F.col("label").alias("far"))
-            after = cut(point.join(far, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), f"{name}-points")
-            point = after.select("node", "label")
-            if not after.filter("moved").head(1):
+            moved = (F.col("far") != F.col("label")).alias("moved")
+            after = cut(point.join(renamed(point), "label").select("node", F.col("far").alias("label"), moved), f"{name}-points")
+            discard(point)
+            point = after
+            if not point.filter("moved").head(1):
                 break
+        as_u, as_v = (point.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("u", "v"))
+        kept = left.join(as_u, "u").join(as_v, "v").filter("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        fewer = cut(kept.select(*pair).distinct(), f"{name}-edges")
+        discard(left)
+        left = fewer
         if found is None:
             found = point
         else:
-            far = point.select(F.col("node").alias("label"), F.col("label").alias("far"))
-            found = cut(found.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), f"{name}-labels")
-        as_u, as_v = (point.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("u", "v"))
-        kept = left.join(as_u, "u").join(as_v, "v").filter("lu <> lv")
-        left = cut(kept.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct(), f"{name}-edges")
-    return left.select(F.col("u").alias("node"), F.col("v").alias("label")) if found is None else found
+            named = cut(found.join(renamed(point), "label", "left").select("node", F.coalesce("far", "label").alias("label")), f"{name}-labels")
+            discard(found, point)
+            found = named
+    if found is None:
+        found = left.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        found.cut_path = left.cut_path
+        return found
+    discard(left)
+    out = found.select("node", "label")
+    out.cut_path = found.cut_path
+    return out
 
 
 def add_columns(docs: DataFrame, compute, added: dict[str, str], drop: tuple[str, ...] = (), text_col: str = "text", least_bytes: int = 0) -> DataFrame:

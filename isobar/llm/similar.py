@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, bloom_probe, bloom_words, components, cut, gathered, own_names, small_batches, tidy, without
+from .common import add_columns, attach, bloom_probe, bloom_words, components, cut, discard, own_names, release, small_batches, tidy, without
 
 SHINGLE = 5
 BLOCKS = 32
@@ -100,7 +100,7 @@ def candidates(each: DataFrame, n_texts: int) -> DataFrame:
     """
     block = F.posexplode("blocks").alias("b", "x")
     rest = each.select("node", "f1", "f2", block).select("node", "f1", "f2", (F.shiftleft(F.col("b").cast("long"), 40) + F.col("x")).alias("key"))
-    edges = None
+    edges, tables = None, []
     for k in range(2):
         first = rest.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "f1", "f2")).alias("hub")).filter("m > 1")
         met = attach(rest, first, "key", "m", n_texts).filter("m IS NOT NULL AND node <> hub.node")
@@ -108,13 +108,18 @@ def candidates(each: DataFrame, n_texts: int) -> DataFrame:
         near = met.filter("near").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
         edges = near if edges is None else edges.unionByName(near)
         rest = met.filter("NOT near").select("key", "node", "f1", "f2")
+        tables.append(met)
+        release(each.sparkSession)
     left = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).filter("m > 1")
     left = cut(attach(rest, left, "key", "m", n_texts).filter("m IS NOT NULL"), "similar-met-rest")
     few = left.filter(F.col("m") <= MOST)
     pairs = few.alias("a").join(few.alias("b"), "key").filter((F.col("a.node") < F.col("b.node")) & (_differ("a.", "b.") <= NEAR))
     stars = left.filter((F.col("m") > MOST) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("node").alias("v"))
     edges = edges.unionByName(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))).unionByName(stars)
-    return components(edges, "similar-groups")
+    out = components(edges, "similar-groups")
+    discard(*tables, left)
+    release(each.sparkSession)
+    return out
 
 
 def alike(sets: list[np.ndarray]) -> np.ndarray:
@@ -187,30 +192,39 @@ def _sets(texts: DataFrame, text_col: str, name: str) -> DataFrame:
 
 def links(rows: DataFrame, each: DataFrame, group: DataFrame, text_col: str, n_texts: int) -> DataFrame:
     """(node, label): the components of all verified pairs within the candidate groups."""
-    held = cut(group.withColumnRenamed("label", "group").join(each.select("node", "__k1", "__k2", "words"), "node"), "similar-members")
+    members = cut(group.withColumnRenamed("label", "group").join(each.select("node", "__k1", "__k2", "words"), "node"), "similar-members")
     parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("words") / CHUNK_WORDS))
-    sizes = held.groupBy("group").agg(F.count("*").alias("m"), parts.cast("int").alias("chunks"))
-    held = attach(held, sizes, "group", "m", n_texts).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("m"), parts.cast("int").alias("chunks"))
+    held = attach(members, sizes, "group", "m", n_texts).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     held = cut(held.drop("m", "words"), "similar-chunks")
     probed = bloom_probe(rows, bloom_words(held, "__k1"), "__k1").dropDuplicates(["__k1", "__k2"])
     sets = _sets(probed.select("__k1", "__k2", text_col).join(held, ["__k1", "__k2"]).drop("__k1", "__k2"), text_col, "similar-sets")
+    discard(members, held)
+    release(rows.sparkSession)
     alone = cut(verified(sets.withColumn("g", F.xxhash64("group", "chunk"))), "similar-verified")
     edges = alone.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    large = sets.filter("chunks > 1")
+    large, tables = sets.filter("chunks > 1"), [sets, alone]
     if large.head(1):
         best = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("degree"), "node"))
         chosen = alone.filter("degree > 1").withColumn("place", best).filter("place <= 8").select("node")
         chosen = cut(large.join(chosen, "node"), "similar-chosen")
         between = F.xxhash64("group", F.pmod(F.xxhash64("node"), F.ceil(F.col("chunks") * 8 / CHUNK)))
         edges = edges.unionByName(verified(chosen.withColumn("g", between)).select(F.col("node").alias("u"), F.col("root").alias("v")))
-        edges = cut(edges, "similar-edges").unionByName(_rest(large, components(edges, "similar-cc"), n_texts))
-    return components(edges, "similar-cc")
+        edges = cut(edges, "similar-edges")
+        more, used = _rest(large, components(edges, "similar-cc"), n_texts)
+        tables += [chosen, edges, *used]
+        edges = edges.unionByName(more)
+    out = components(edges, "similar-cc")
+    discard(*tables)
+    release(rows.sparkSession)
+    return out
 
 
-def _rest(large: DataFrame, label: DataFrame, n_texts: int) -> DataFrame:
-    """(u, v): verified pairs of the texts outside their group's largest component with all the group's texts."""
+def _rest(large: DataFrame, label: DataFrame, n_texts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v), and the tables that it is made from: verified pairs of the texts outside their group's largest component with all the group's texts."""
     ids = large.select("node", "group", "chunk", "chunks").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = cut(ids, "similar-labels")
+    discard(label)
     part = ids.groupBy("group", "label").agg(F.count("*").alias("c"))
     main = part.groupBy("group").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("m"), (F.sum("c") - F.max("c")).alias("left")).filter("left > 0")
     open_ = attach(ids, main, "group", "m", n_texts).filter("main IS NOT NULL")
@@ -219,7 +233,7 @@ def _rest(large: DataFrame, label: DataFrame, n_texts: int) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = outside.select("node", "group", "i", upto("chunks").alias("j")).unionByName(open_.select("node", "group", upto("rounds").alias("i"), F.col("chunk").alias("j")))
     pairs = dealt.select("node", F.xxhash64(F.lit(5), "group", "i", "j").alias("g")).distinct().join(large.select("node", "set"), "node")
-    return verified(pairs).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return verified(pairs).select(F.col("node").alias("u"), F.col("root").alias("v")), [ids, open_]
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -234,12 +248,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     first = [F.first(f"__{n}").alias(n) for n in ("words", "blocks", "f1", "f2")]
     each = sketched.groupBy("__k1", "__k2").agg(F.min("__id").alias("low"), F.count("*").alias("n"), *first)
     each = cut(each.withColumn("node", F.monotonically_increasing_id()), "similar-texts")
-    found = links(slim.withColumnRenamed("__text", text_col), each, candidates(each, n_rows), text_col, n_rows)
+    discard(sketched)
+    groups = candidates(each, n_rows)
+    found = links(slim.withColumnRenamed("__text", text_col), each, groups, text_col, n_rows)
     named = each.select("__k1", "__k2", "node", "low", "n").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = cut(named, "similar-named")
+    discard(each, groups, found)
     group = named.groupBy("label").agg(F.min("low").alias("component_id"), F.sum("n").alias("all"), F.count("*").alias("texts")).filter("all > 1")
     of_text = attach(named, group, "label", "texts", n_rows).filter("all IS NOT NULL")
     of_text = cut(of_text.select("__k1", "__k2", F.col("label").alias("__node"), "component_id", F.col("n").alias("__n")), "similar-components")
+    discard(named)
     maybe = bloom_probe(rows, bloom_words(of_text, "__k1"), "__k1", keep=True)
     met = attach(maybe.filter("__maybe"), of_text, ["__k1", "__k2"], "__n", n_rows)
     gone = ("__k1", "__k2", "__maybe")
