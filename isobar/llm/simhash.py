@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, components, cut, own_names, small_batches, table, without
+from .common import add_columns, attach, components, cut, discard, own_names, small_batches, table, without
 
 ADDED = ["fingerprint", "component_id", "component_fp"]
 
@@ -68,26 +68,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fingerprints: DataFrame, distance: int = 2, blocks: int = 5, most: int = 64) -> DataFrame:
-    """(seed, u, v): edges whose components are those of all pairs of fingerprints(seed, fp) of one seed within the distance."""
+def links(fingerprints: DataFrame, distance: int = 2, blocks: int = 5, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(u, v), and the table that it is made from: edges whose components are those of all pairs of fingerprints(fp) within the distance."""
+    if distance != 2:
+        raise ValueError("keys of many fingerprints are handled for a distance of 2 only")
     masks = _masks(blocks, distance)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
-    dealt = fingerprints.select("seed", "fp", keys.alias("b")).select("seed", "fp", "b.k", "b.key")
-    met = cut(dealt.withColumn("n", F.count("*").over(Window.partitionBy("seed", "k", "key"))).filter("n > 1"), "simhash-blocks")
-    few = met.filter(F.col("n") <= most).select("seed", "k", "key", "fp")
+    dealt = fingerprints.select("fp", keys.alias("b")).select("fp", "b.k", "b.key")
+    shared = dealt.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = cut(attach(dealt, shared, ["k", "key"], "n", fingerprints.count()).filter("n IS NOT NULL"), "simhash-blocks")
+    few = met.filter(F.col("n") <= most).select("k", "key", "fp")
     pairs = (
-        few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["seed", "k", "key"])
-        .filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select("seed", "u", "v")
+        few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["k", "key"])
+        .filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select("u", "v")
     )
-    if distance != 2:
-        raise ValueError("keys of many fingerprints are handled for a distance of 2 only")
     free = F.element_at(F.array(*[F.lit(_signed(~m & ((1 << 64) - 1))) for m in masks]), F.col("k") + 1)
-    hot = met.filter(F.col("n") > most).groupBy("seed", "fp").agg(F.bit_or(free).alias("free"))
+    hot = met.filter(F.col("n") > most).groupBy("fp").agg(F.bit_or(free).alias("free"))
     bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda b: b.bitwiseAND(F.col("free")) != 0)
     near = F.concat(F.array("fp"), F.transform(bits, lambda b: F.col("fp").bitwiseXOR(b)))
-    stars = hot.select("seed", "fp", F.explode(near).alias("hub"))
-    centre = stars.groupBy("seed", "hub").agg(F.min("fp").alias("u"), F.count("*").alias("n")).filter("n > 1")
-    return pairs.unionByName(stars.join(centre, ["seed", "hub"]).filter("fp <> u").select("seed", "u", F.col("fp").alias("v")).distinct())
+    stars = hot.select("fp", F.explode(near).alias("hub"))
+    centre = stars.groupBy("hub").agg(F.min("fp").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    return pairs.unionByName(stars.join(centre, "hub").filter("fp <> u").select("u", F.col("fp").alias("v")).distinct()), met
 
 
 @own_names
@@ -96,7 +97,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = with_fingerprints(without(docs, ADDED), text_col, "__fp", shingle)
     rows = cut(rows if keep_text else rows.drop(text_col), "simhash-rows")
     each = cut(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "simhash-fps")
-    found = components(links(each.select(F.lit(0).alias("seed"), "fp"), distance).drop("seed"), "simhash-cc")
+    edges, met = links(each.select("fp"), distance)
+    found = components(edges, "simhash-cc")
+    discard(met)
     named = each.join(found, each.fp == found.node, "left").select("fp", "n", "low", F.coalesce("label", "fp").alias("label"))
     named = cut(named, "simhash-named")
     least = named.groupBy("label").agg(F.min("low").alias("component_id"))
