@@ -1,16 +1,17 @@
 """Token-id files with a minimal perfect hash index.
 
-Documents are dealt by ranges of their key and sorted, each range is encoded and written as one shard: raw ids, little-endian,
-two bytes each where the vocabulary allows, and an index. The index is a minimal perfect hash of the shard's keys: at each
+Documents are encoded where they lie; their ids are dealt by ranges of the key and sorted, and each range is written as one
+shard: raw ids, little-endian, two bytes each where the vocabulary allows, and an index. Range bounds are quantiles of the
+keys, and there is a shard for each `SHARD_BYTES` of input. The index is a minimal perfect hash of the shard's keys: at each
 level a key that is alone in its bit sets it, the others go down a level, and the rank of a key's bit is its slot. A slot
 holds a 32-bit fingerprint of the key, the offset and the number of ids, so a lookup reads one slot and one stretch of
 ids, and a key that is not there is told by its fingerprint (wrongly once in 2**32). A small directory, one row a
 shard, has first keys and id totals; it alone reaches the driver.
 
 Files are written through Arrow's file systems into the shared folder under a temporary name and renamed when whole, so
-a task that runs again leaves the same files. Null text is empty: one end id. A null key sorts first, as the least long. Of rows with
-the same key the first stored is occurrence 0, the next 1 and so on, and (key, occurrence) is what is indexed. An empty
-table gives no shards and no rows. Extra columns are not stored.
+a task that runs again leaves the same files. Null text is empty: one end id. A null key sorts first, as the least long. Rows with
+the same key lie in one shard in the order of their ids: the first is occurrence 0, the next 1 and so on, and (key,
+occurrence) is what is indexed. An empty table gives no shards and no rows. Extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, opened, scratch, small_batches, table
-from .tokens import TOGETHER, encoder, public, read_spec
+from .common import gathered, opened, scratch, small_batches, table, tidy
+from .tokens import TOGETHER, Encoder, encoder, public, read_spec
 
 LEAST_KEY = -(1 << 63)
 LEVELS = 64
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 10_000
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -131,11 +133,36 @@ def crc_of(ids: bytes, width: int) -> int:
     return zlib.crc32(ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes())
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> list[dict]:
+def _encoded(rows: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, int]:
+    """(key, ids) of rows(key, text), and the bytes of an id."""
+    spec = rows.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in gathered(batches, "text", TOGETHER):
+            e = encoder(spec.value)
+            ids, counts = e.with_end(batch.column(1), end_id)
+            ends = np.concatenate(([0], np.cumsum(counts * e.width)))
+            raw = ids.tobytes()
+            for i in range(0, len(counts), 400):  # batches that stay small
+                part = ends[i : i + 401]
+                found = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer((part - part[0]).astype("<i4").tobytes()), pa.py_buffer(raw[part[0] : part[-1]])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).combine_chunks()[i : i + 400], found], ["key", "ids"])
+        tidy()
+
+    return rows.mapInArrow(run, "key long, ids binary"), Encoder(read_spec(tokenizer)).width
+
+
+def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None) -> list[dict]:
     """Writes the shards; the directory: shard, first (key), docs and ids (numbers), start (ids in all shards before)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_KEY)).alias("key"), F.col(text_col).alias("text"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, or an estimate
+    shards = shards or max(8, min(MOST_SHARDS, size // SHARD_BYTES))
+    bounds = rows.agg(F.percentile_approx("key", [k / shards for k in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
+    edges = F.array(*[F.lit(int(x)) for x in sorted(set(bounds or []))]).cast("array<long>")
+    encoded, width = _encoded(rows, tokenizer, end_id)
 
     def store(batches):
         import pyarrow as pa
@@ -143,16 +170,18 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
 
         shard, out, fs = TaskContext.get().partitionId(), None, None
         keys, lengths = [], []
-        for rows in gathered(batches, "text", TOGETHER):
-            e = encoder(spec.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             if out is None:
                 fs, path = opened(folder)
                 temporary = f"{path}/_{_name(shard, 'ids')}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(temporary)
-            ids, counts = e.with_end(rows.column(1), end_id)
-            keys.append(rows.column(0).to_numpy().copy())
-            lengths.append(counts)
-            out.write(ids.tobytes())
+            found = batch.column(1)
+            at = np.frombuffer(found.buffers()[1], "<i4", len(found) + 1, 4 * found.offset)
+            keys.append(batch.column(0).to_numpy().copy())
+            lengths.append(np.diff(at).astype(np.int64) // width)
+            out.write(found.buffers()[2][int(at[0]) : int(at[-1])])
         if out is None:
             return
         out.close()
@@ -160,13 +189,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
         key, length = np.concatenate(keys), np.concatenate(lengths)
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         occurrence = np.arange(len(key)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(key)]))))
-        _save_index(folder, shard, joint_keys(key, occurrence), length, e.width)
+        _save_index(folder, shard, joint_keys(key, occurrence), length, width)
         found = [np.array([shard], np.int32), np.array([key[0]]), np.array([len(key)]), np.array([length.sum()])]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["shard", "first", "docs", "ids"])
 
-    opened(folder)[0].create_dir(opened(folder)[1], recursive=True)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_KEY)).alias("key"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    fs, path = opened(folder)
+    fs.create_dir(path, recursive=True)
+    at = F.size(F.filter(edges, lambda e: e <= F.col("key")))
+    dealt = encoded.repartitionById(shards, at).sortWithinPartitions("key", "ids")
     found = sorted(dealt.mapInArrow(store, "shard int, first long, docs long, ids long").collect(), key=lambda r: r["shard"])
     start, directory = 0, []
     for r in found:
@@ -202,7 +232,7 @@ def lookup(keys: DataFrame, folder: str, directory: list[dict], id_col: str = "d
     count = F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1
     rows = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_KEY)).alias("key"))
     rows = rows.withColumns({"occurrence": count.cast("long"), "at": place("key")})
-    return rows.repartition("at").sortWithinPartitions("at", "key", "occurrence").mapInPandas(read, schema)
+    return rows.repartitionById(len(directory), "at").sortWithinPartitions("at", "key", "occurrence").mapInPandas(read, schema)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
