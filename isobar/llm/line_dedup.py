@@ -22,14 +22,14 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, bloom_probe, bloom_words, cut, own_names, table, without
+from .common import add_columns, attach, bloom_probe, bloom_words, cut, discard, own_names, release, table, without
 
 ADDED = ["n_lines", "n_removed", "n_runs", "kept_sha256"]
 PLACE = ["id", "key", "at"]
 
 
 def _ranked(positions: DataFrame, by: list[str], name: str, n_rows: int) -> DataFrame:
-    """(id, key, at, rank, source, size): positions whose `by` occurs again, ranked in its order; source: the first position that has it, null for that itself."""
+    """Uses up the table of positions. (id, key, at, rank, source, size): positions whose `by` occurs again, ranked in its order; source: the first position that has it, null for that itself."""
     here = F.struct(*PLACE)
     groups = positions.groupBy(*by).agg(F.count("*").alias("n"), F.min(here).alias("source"), *([F.first("size").alias("size")] if "size" in positions.columns else [])).filter("n > 1")
     # ids that increase along sorted ranges are ranks with gaps
@@ -37,7 +37,9 @@ def _ranked(positions: DataFrame, by: list[str], name: str, n_rows: int) -> Data
     ordered = cut(ordered, f"{name}-groups")
     joined = attach(positions.drop("size"), ordered, by, "n", n_rows).filter("rank IS NOT NULL")
     source = F.when(~here.eqNullSafe(F.col("source")), F.col("source"))
-    return cut(joined.select(*PLACE, "rank", source.alias("source"), *(["size"] if "size" in ordered.columns else [])), f"{name}-ranks")
+    out = cut(joined.select(*PLACE, "rank", source.alias("source"), *(["size"] if "size" in ordered.columns else [])), f"{name}-ranks")
+    discard(positions, ordered)
+    return out
 
 
 def _same(a: str, b: str):
@@ -56,6 +58,8 @@ def suffix_ranks(rows: DataFrame) -> list[DataFrame]:
         ranks = levels[-1].select(*PLACE, "rank")
         ahead = ranks.select("id", "key", (F.col("at") - depth).alias("at"), F.col("rank").alias("r2"))
         pairs = ranks.alias("a").join(ahead.alias("b"), _same("a", "b")).select("a.id", "a.key", "a.at", F.col("a.rank").alias("r1"), "b.r2")
+        if depth == 2:
+            release(rows.sparkSession)
         levels.append(_ranked(cut(pairs, f"lines-pairs-{2 * depth}"), ["r1", "r2"], f"lines-{2 * depth}", n_rows))
     return levels[:-1]
 
