@@ -119,3 +119,64 @@ def brackets(timeline: DataFrame, targets: DataFrame, entity: list[str], ts: str
     down = Window.partitionBy(*entity).orderBy(F.col(ts).desc(), F.col("__line").desc()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumns({"lower_ts": F.last(at, ignorenulls=True).over(up), "upper_ts": F.last(at, ignorenulls=True).over(down)})
     return found.filter("NOT __line").select(*entity, ts, *others, "lower_ts", "upper_ts")
+
+
+def _place(df: DataFrame, column: str) -> Column:
+    """A column as a number, for range bounds."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.unix_micros(F.col(column).cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else F.col(column).cast("double")
+
+
+def range_parts(df: DataFrame, order: str, name: str, parts: int | None = None) -> DataFrame:
+    """Adds the number of the range that a row's `order` is in: `parts` ranges of about equal rows, nulls in the first.
+
+    Bounds are approximate quantiles, found in a pass of their own; they bear on the ranges' sizes alone.
+    """
+    n = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = _place(df, order)
+    bounds = df.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
+    return df.withColumn(name, F.coalesce(F.size(F.filter(edges, lambda e: e < at)), F.lit(0)))
+
+
+def running(df: DataFrame, group: list[str], order: list[str], measures: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """Adds sums of the measures up to and with each row, in the order, by group, without a group's rows meeting in one task.
+
+    Rows are parted by ranges of the first order column; each range is summed alone and starts from the sum of those before.
+    """
+    dealt = range_parts(df, order[0], "__range", parts).withColumns({f"__{k}": v for k, v in measures.items()})
+    sums = dealt.groupBy(*group, "__range").agg(*[F.sum(f"__{k}").alias(f"__in_{k}") for k in measures])
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__in_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in measures])
+    within = Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({f"__{k}": F.sum(f"__{k}").over(within) for k in measures})
+    same = F.col("__range") == F.col("__r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    out = own.join(starts, same)
+    return out.select(*df.columns, *[(F.col(f"__{k}") + F.col(f"__before_{k}")).alias(k) for k in measures])
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
+    """Exact, interpolated quantiles q0, q1 ... of each group's values, nulls aside, and n, the number of values.
+
+    Different values are counted first; their running counts then tell which ones lie at a quantile, so neither a group's
+    values nor the different ones among them are held in one task.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    upto = running(counted, group, ["__v"], {"__upto": F.col("__n")})
+    total = counted.groupBy(*group).agg(F.sum("__n").alias("n"))
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        total = total.withColumnRenamed(g, f"__t{i}")
+        same = same & F.col(g).eqNullSafe(F.col(f"__t{i}"))
+    both = upto.join(total, same) if group else upto.join(F.broadcast(total))  # without groups, one row
+    first = F.col("__upto") - F.col("__n")
+    found = []
+    for i, q in enumerate(at):
+        place = (F.col("n") - 1) * q
+        for k, end in (("a", F.floor(place)), ("b", F.ceil(place))):
+            found.append(F.max(F.when((first <= end) & (end < F.col("__upto")), F.col("__v"))).alias(f"__{k}{i}"))
+    out = both.groupBy(*group, "n").agg(*found)
+    mixed = [F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)) for i, q in enumerate(at)]
+    return out.select(*group, "n", *[m.alias(f"q{i}") for i, m in enumerate(mixed)])

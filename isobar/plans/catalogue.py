@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import models, more, relations, scenarios, series
+from . import models, more, relations, scenarios, series, standard
 
-QUERIES: dict = series.QUERIES | relations.QUERIES | scenarios.QUERIES | more.QUERIES | models.QUERIES
-SQL: dict = series.SQL | relations.SQL | scenarios.SQL | more.SQL
+QUERIES: dict = series.QUERIES | relations.QUERIES | scenarios.QUERIES | more.QUERIES | models.QUERIES | standard.QUERIES
+SQL: dict = series.SQL | relations.SQL | scenarios.SQL | more.SQL | standard.SQL
