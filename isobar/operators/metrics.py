@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import quantiles
+
 
 def regression(y: str, p: str) -> dict[str, Column]:
     """All from sums, so partial aggregates combine before the shuffle."""
@@ -39,7 +41,8 @@ def scopes(df: DataFrame, first: str, second: str, measures: list[Column]) -> Da
 
 def intensity(df: DataFrame, entity: list[str], consumed: str, capacity: str, work: str, factor: float) -> DataFrame:
     """factor * consumption over capacity * work, the capacity being the entity's median."""
-    a = df.groupBy(*entity).agg(F.sum(consumed).alias("consumed"), F.median(capacity).alias("capacity"), F.sum(work).alias("work"))
+    a = df.groupBy(*entity).agg(F.sum(consumed).alias("consumed"), F.sum(work).alias("work"))
+    a = a.join(quantiles(df, entity, capacity, [0.5]).select(*entity, F.col("q0").alias("capacity")), entity, "left")
     return a.withColumn("intensity", factor * F.col("consumed") / F.nullif(F.col("capacity") * F.col("work"), F.lit(0.0)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from .series import quantiles
 
 
 @dataclass(frozen=True)
@@ -43,19 +44,29 @@ def cascade_audit(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def mad_flags(df: DataFrame, group: list[str], value: str, times: float, least_rows: int) -> DataFrame:
     """Rows with their group's size, median and MAD, and low: under median - times * MAD in a group large enough.
 
-    Both medians are aggregated, not windowed, so that a group need not fit one task's sort.
+    Both medians are exact and found by ranges of values, so that a group need not fit one task.
     """
-    centre = df.groupBy(*group).agg(F.count("*").alias("group_rows"), F.percentile(value, 0.5).alias("group_median"))
-    away = df.join(centre, group).withColumn("__away", F.abs(F.col(value) - F.col("group_median")))
-    spread = away.groupBy(*group).agg(F.percentile("__away", 0.5).alias("group_mad"))
+    median = lambda rows, v, name: _keyed(quantiles(rows, group, v, [0.5]), group).withColumnRenamed("q0", name).drop("n")
+    size = _keyed(df.groupBy(*group).agg(F.count("*").alias("group_rows")), group)
+    away = _met(_met(df, size, group), median(df, value, "group_median"), group).withColumn("__away", F.abs(F.col(value) - F.col("group_median")))
     low = (F.col("group_rows") >= least_rows) & (F.col(value) < F.col("group_median") - times * F.col("group_mad"))
-    return away.drop("__away").join(spread, group).withColumn("low", low)
+    return _met(away, median(away, "__away", "group_mad"), group).drop("__away").withColumn("low", low)
+
+
+def _keyed(stats: DataFrame, group: list[str]) -> DataFrame:
+    return stats.withColumnsRenamed({g: f"__key{i}" for i, g in enumerate(group)})
+
+
+def _met(df: DataFrame, keyed: DataFrame, group: list[str]) -> DataFrame:
+    """df with its groups' statistics; null is a group like others."""
+    same = [F.col(g).eqNullSafe(F.col(f"__key{i}")) for i, g in enumerate(group)]
+    return df.join(keyed, same, "left").drop(*[f"__key{i}" for i in range(len(group))])
 
 
 def upper_fences(df: DataFrame, entity: list[str], value: str, q: float, times: float) -> DataFrame:
     """By entity the quantile q and Q3 + times * IQR."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75), F.lit(q))).alias("p")
-    return df.groupBy(*entity).agg(p).select(*entity, F.col("p")[2].alias("high_quantile"), (F.col("p")[1] + times * (F.col("p")[1] - F.col("p")[0])).alias("iqr_fence"))
+    p = quantiles(df, entity, value, [0.25, 0.75, q])
+    return p.select(*entity, F.col("q2").alias("high_quantile"), (F.col("q1") + times * (F.col("q1") - F.col("q0"))).alias("iqr_fence"))
 
 
 def threshold_counts(df: DataFrame, group: list[str], value: str, levels: list[float]) -> DataFrame:
@@ -69,11 +80,12 @@ def threshold_counts(df: DataFrame, group: list[str], value: str, levels: list[f
 def profile(df: DataFrame, group: list[str], names: list[str]) -> DataFrame:
     """By group and variable: rows, missing share, mean, deviation, median, 5 % and 95 % quantiles."""
     long = df.unpivot(group, names, "variable", "value")
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return long.groupBy(*group, "variable").agg(
-        F.count("*").alias("rows"), (1 - F.count("value") / F.count("*")).alias("missing_share"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), q[0].alias("q05"), q[1].alias("median"), q[2].alias("q95"),
-    )
+    by = [*group, "variable"]
+    q = _keyed(quantiles(long, by, "value", [0.05, 0.5, 0.95]).drop("n"), by)
+    one = long.groupBy(*by).agg(
+        F.count("*").alias("rows"), (1 - F.count("value") / F.count("*")).alias("missing_share"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
+    )
+    return _met(one, q, by).withColumnsRenamed({"q0": "q05", "q1": "median", "q2": "q95"})
 
 
 def checks(spark, found: list[tuple[str, float, float, float]]) -> DataFrame:

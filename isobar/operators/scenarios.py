@@ -15,9 +15,9 @@ def with_levels(df: DataFrame, levels: list[float], name: str) -> DataFrame:
 
 
 def supported(df: DataFrame, train: DataFrame, group: str, value: str, scenario: Column) -> DataFrame:
-    """supported: whether the scenario's value is within what the group's training rows have; a row a group is broadcast."""
+    """supported: whether the scenario's value is within what the group's training rows have."""
     range_ = train.groupBy(group).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    out = df.join(F.broadcast(range_), group, "left")
+    out = df.join(range_, group, "left")
     return out.withColumn("supported", F.coalesce(scenario.between(F.col("__low"), F.col("__high")), F.lit(False))).drop("__low", "__high")
 
 

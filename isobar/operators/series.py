@@ -108,17 +108,25 @@ def carry_forward(df: DataFrame, entity: list[str], order: list[str], value: str
 
 
 def brackets(timeline: DataFrame, targets: DataFrame, entity: list[str], ts: str) -> DataFrame:
-    """For each target row the timeline's times at or before and at or after it, by one pass over both, sorted.
+    """For each target row the timeline's times at or before and at or after it, by one pass over both, sorted within ranges of time.
 
     timeline: entity, ts; targets: entity, ts and other columns. No range join, no row pairs.
     """
     others = [x for x in targets.columns if x not in {*entity, ts}]
     both = timeline.select(*entity, ts, F.lit(True).alias("__line")).unionByName(targets.withColumn("__line", F.lit(False)), allowMissingColumns=True)
+    both = range_parts(both, ts, "__range")
     at = F.when(F.col("__line"), F.col(ts))
-    up = Window.partitionBy(*entity).orderBy(F.col(ts).asc(), F.col("__line").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*entity).orderBy(F.col(ts).desc(), F.col("__line").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumns({"lower_ts": F.last(at, ignorenulls=True).over(up), "upper_ts": F.last(at, ignorenulls=True).over(down)})
-    return found.filter("NOT __line").select(*entity, ts, *others, "lower_ts", "upper_ts")
+    ends = both.groupBy(*entity, "__range").agg(F.max(at).alias("__last"), F.min(at).alias("__first"))
+    by_range = Window.partitionBy(*entity).orderBy("__range")  # a row for each range
+    outside = ends.select(
+        *[F.col(x).alias(f"__key{i}") for i, x in enumerate(entity)], F.col("__range").alias("__r"),
+        F.max("__last").over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__first").over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    up = Window.partitionBy(*entity, "__range").orderBy(F.col(ts).asc(), F.col("__line").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*entity, "__range").orderBy(F.col(ts).desc(), F.col("__line").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"__low": F.last(at, ignorenulls=True).over(up), "__high": F.last(at, ignorenulls=True).over(down)}).filter("NOT __line")
+    same = [F.col("__range") == F.col("__r"), *[F.col(x).eqNullSafe(F.col(f"__key{i}")) for i, x in enumerate(entity)]]
+    return found.join(outside, same).select(*entity, ts, *others, F.coalesce("__low", "__before").alias("lower_ts"), F.coalesce("__high", "__after").alias("upper_ts"))
 
 
 def _place(df: DataFrame, column: str) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import series
+from .series import running
+
 
 def placed(df: DataFrame, entity: list[str], order: list[str]) -> DataFrame:
-    """Adds the row's number in its entity, from 1, and the entity's rows."""
-    return df.withColumns({
-        "place": F.row_number().over(Window.partitionBy(*entity).orderBy(*order)).cast("long"),
-        "entity_rows": F.count("*").over(Window.partitionBy(*entity)),
-    })
+    """Adds the row's number in its entity, from 1, and the entity's rows; an entity may be larger than a task."""
+    rows = running(df, entity, order, {"place": F.lit(1)}).withColumn("place", F.col("place").cast("long"))
+    sizes = df.groupBy(*[F.col(x).alias(f"__key{i}") for i, x in enumerate(entity)]).agg(F.count("*").alias("entity_rows"))
+    same = [F.col(x).eqNullSafe(F.col(f"__key{i}")) for i, x in enumerate(entity)]
+    return rows.join(sizes, same).drop(*[f"__key{i}" for i in range(len(entity))])
 
 
 def chronological(df: DataFrame, entity: list[str], order: list[str], train: float = 0.7, valid: float = 0.15) -> DataFrame:
@@ -37,15 +40,19 @@ def expanding_folds(df: DataFrame, entity: list[str], order: list[str], folds: i
 
 
 def quantile_strata(df: DataFrame, group: list[str], value: str, tie: str, count: int, name: str = "stratum") -> DataFrame:
-    return df.withColumn(name, F.ntile(count).over(Window.partitionBy(*group).orderBy(value, tie)).cast("long"))
+    """As many strata of equal rows in each group, the first ones a row larger where they don't divide."""
+    small, more = F.floor(F.col("entity_rows") / count), F.col("entity_rows") % count
+    large = more * (small + 1)  # rows in the larger strata
+    at = F.when(F.col("place") <= large, F.floor((F.col("place") - 1) / (small + 1)) + 1).otherwise(more + F.floor((F.col("place") - large - 1) / F.greatest(small, F.lit(1))) + 1)
+    return placed(df, group, [value, tie]).withColumn(name, at.cast("long")).drop("place", "entity_rows")
 
 
 def stratified(df: DataFrame, strata: list[str], row_id: str, train: float, seed: str) -> DataFrame:
     """The rows of least hash in each stratum train: the same rows whatever the partitions."""
     h = F.md5(F.concat(F.lit(seed), F.col(row_id).cast("string")))
-    n = F.count("*").over(Window.partitionBy(*strata))
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(h, row_id))
-    return df.withColumn("split", F.when(place <= F.floor(n * train), "train").otherwise("test"))
+    hashed = df.withColumns({"__h": h, "__first": F.conv(F.substring(h, 1, 12), 16, 10).cast("double")})
+    split = F.when(F.col("place") <= F.floor(F.col("entity_rows") * train), "train").otherwise("test")
+    return placed(hashed, strata, ["__first", "__h", row_id]).withColumn("split", split).drop("__h", "__first", "place", "entity_rows")
 
 
 def hashed_sample(df: DataFrame, row_id: str, size: int, seed: str) -> DataFrame:
@@ -79,7 +86,8 @@ def balanced_weights(df: DataFrame, entity: list[str]) -> DataFrame:
 
 def nearest_to_quantiles(df: DataFrame, group: list[str], value: str, row_id: str, quantiles: list[float]) -> DataFrame:
     """The row of each group nearest to each quantile of value."""
-    q = df.groupBy(*group).agg(F.percentile(value, F.array(*[F.lit(x) for x in quantiles])).alias("q"))
-    each = q.select(*group, F.posexplode("q").alias("k", "at")).withColumn("quantile", F.element_at(F.array(*[F.lit(x) for x in quantiles]), F.col("k") + 1)).drop("k")
+    found = series.quantiles(df, group, value, quantiles)
+    at = F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(f"q{i}").alias("at")) for i, q in enumerate(quantiles)]))
+    each = found.select(*group, at.alias("e")).select(*group, "e.quantile", "e.at")
     near = F.min_by(row_id, F.struct(F.abs(F.col(value) - F.col("at")), F.col(row_id))).alias(row_id)
-    return df.join(F.broadcast(each), group).groupBy(*group, "quantile").agg(near)
+    return df.join(each, group).groupBy(*group, "quantile").agg(near)

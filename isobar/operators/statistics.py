@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import range_parts, running
+
 
 def hashed_uniform(*parts: Column) -> Column:
     """In [0, 1), from 13 hex digits of an md5."""
@@ -20,7 +22,7 @@ def cluster_bootstrap(clusters: DataFrame, number: str, sums: list[str], draws:
     n = clusters.agg(F.count("*").alias("__n"))
     slots = n.select("__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("__n", "draw", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("slot"))
     picked = slots.withColumn(number, F.floor(hashed_uniform(F.col("draw"), F.col("slot")) * F.col("__n")).cast("long"))
-    drawn = picked.join(F.broadcast(clusters), number).groupBy("draw").agg(*[F.sum(s).alias(s) for s in sums])
+    drawn = picked.join(clusters, number).groupBy("draw").agg(*[F.sum(s).alias(s) for s in sums])
     return drawn.select(F.col("draw").cast("long").alias("draw"), statistic.alias("stat"))
 
 
@@ -40,10 +42,19 @@ def two_sample(df: DataFrame, group: str, first: str, second: str, value: str) -
     sizes = df.agg(F.sum(F.when(F.col(group) == first, 1).otherwise(0)).alias("na"), F.sum(F.when(F.col(group) == second, 1).otherwise(0)).alias("nb"))
     each = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()).groupBy(value).agg(
         F.sum(F.when(F.col(group) == first, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(group) == second, 1).otherwise(0)).alias("b"))
-    w = Window.orderBy(value)
-    run = each.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w), "next": F.lead(value).over(w)}).join(F.broadcast(sizes))
+    run = running(each, [], [value], {"ca": F.col("a"), "cb": F.col("b")})
     d = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
-    return run.agg(F.max(d).alias("ks"), F.sum(d * (F.col("next") - F.col(value))).alias("wasserstein"))
+    step = followed(run, value, "next").join(F.broadcast(sizes))  # one row
+    return step.agg(F.max(d).alias("ks"), F.sum(d * (F.col("next") - F.col(value))).alias("wasserstein"))
+
+
+def followed(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the next larger value, by ranges: null after the last."""
+    dealt = range_parts(df, value, "__range")
+    least = dealt.groupBy("__range").agg(F.min(value).alias("__least"))
+    after = least.select(F.col("__range").alias("__r"), F.lead("__least").over(Window.orderBy("__range")).alias("__after"))  # a row for each range
+    ahead = F.lead(value).over(Window.partitionBy("__range").orderBy(value))
+    return dealt.withColumn("__ahead", ahead).join(after, F.col("__range") == F.col("__r")).select(*df.columns, F.coalesce("__ahead", "__after").alias(name))
 
 
 def mean_difference(df: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:
@@ -64,25 +75,38 @@ def overlap(df: DataFrame, group: str, first: str, second: str, value: str, low:
     return counts.join(F.broadcast(total)).agg(F.sum(F.least(F.col("a") / F.col("ta"), F.col("b") / F.col("tb"))).alias("overlap"))
 
 
-def average_rank(df: DataFrame, group: list[str], value: str) -> Column:
-    """Ranks where ties share their mean rank."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2
+def average_ranks(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """Adds ranks where ties share their mean rank: running counts of different values, joined back."""
+    counted = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    ranked = running(counted, group, [value], {"__upto": F.col("__n")})
+    rank = (F.col("__upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2).alias(name)
+    keys = [*group, value]
+    ranked = ranked.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], rank)
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    return df.join(ranked, same).drop(*[f"__key{i}" for i in range(len(keys))])
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.withColumns({"__x": average_rank(df, group, x), "__y": average_rank(df, group, y)})
+    ranked = average_ranks(average_ranks(df.select(*group, x, y), group, x, "__x"), group, y, "__y")
     return ranked.groupBy(*group).agg(F.corr("__x", "__y").alias("rho"))
 
 
 def serial(df: DataFrame, entity: list[str], order: list[str], e: str, lags: int) -> DataFrame:
-    """Durbin-Watson and autocorrelations of residuals in their order."""
-    w = Window.partitionBy(*entity).orderBy(*order)
-    lagged = df.withColumns({f"__l{k}": F.lag(e, k).over(w) for k in range(1, lags + 1)})
+    """Durbin-Watson and autocorrelations of residuals in their order.
+
+    Rows are numbered by ranges; the row k before is the one with the number less by k, so no entity meets in one task.
+    """
+    rows = running(df.select(*entity, *[x for x in order if x not in entity], e), entity, order, {"__no": F.lit(1)}).select(*entity, e, "__no")
     square = F.sum(F.col(e) ** 2)
-    return lagged.groupBy(*entity).agg(
-        F.count("*").alias("n"), (F.sum((F.col(e) - F.col("__l1")) ** 2) / F.nullif(square, F.lit(0.0))).alias("durbin_watson"),
-        *[(F.sum(F.col(e) * F.col(f"__l{k}")) / F.nullif(square, F.lit(0.0))).alias(f"acf{k}") for k in range(1, lags + 1)],
-    )
+    out = rows.groupBy(*entity).agg(F.count("*").alias("n"), square.alias("__square"))
+    paired = [F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("__no") + k).alias("at")) for k in range(1, lags + 1)])).alias("l")]
+    earlier = rows.select(*entity, F.col(e).alias("__before"), *paired).select(*entity, "__before", "l.k", F.col("l.at").alias("__no"))
+    both = rows.join(earlier, [*entity, "__no"])
+    sums = [F.sum(F.when(F.col("k") == 1, (F.col(e) - F.col("__before")) ** 2)).alias("__steps")]
+    sums += [F.sum(F.when(F.col("k") == k, F.col(e) * F.col("__before"))).alias(f"__c{k}") for k in range(1, lags + 1)]
+    out = out.join(both.groupBy(*entity).agg(*sums), entity, "left")
+    part = lambda x: F.col(x) / F.nullif(F.col("__square"), F.lit(0.0))
+    return out.select(*entity, "n", part("__steps").alias("durbin_watson"), *[part(f"__c{k}").alias(f"acf{k}") for k in range(1, lags + 1)])
 
 
 def line_fit(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -15,8 +14,7 @@ from .base import TELEMETRY, gap, haversine, r, rounded, table, telemetry
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/isobar-{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark)}/isobar-{uuid.uuid4().hex}"
 
 
 def csv_roundtrip(spark, sf):
@@ -46,9 +44,8 @@ def extent(spark, sf):
 def positional_zip(spark, sf):
     """The n-th of one ordering with the n-th of another, verified by a column."""
     e = table(spark, sf, "events")
-    w = Window.partitionBy("event_type")
-    a = e.select("event_type", "event_id", F.col("ts").alias("a_ts"), F.row_number().over(w.orderBy("event_id")).alias("k"))
-    b = e.select("event_type", F.col("ts").alias("b_ts"), F.row_number().over(w.orderBy("ts", "event_id")).alias("k"))
+    a = series.running(e.select("event_type", "event_id", F.col("ts").alias("a_ts")), ["event_type"], ["event_id"], {"k": F.lit(1)}).select("event_type", "a_ts", "k")
+    b = series.running(e.select("event_type", "event_id", F.col("ts").alias("b_ts")), ["event_type"], ["b_ts", "event_id"], {"k": F.lit(1)}).select("event_type", "b_ts", "k")
     j = a.join(b, ["event_type", "k"])
     return j.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("a_ts") != F.col("b_ts")).cast("long")).alias("mismatched"))
 
@@ -185,8 +182,9 @@ def balanced_bootstrap(spark, sf):
 
 def residual_spread(spark, sf):
     x = table(spark, sf, "lineitem").withColumn("e", F.col("l_extendedprice") / 1000 - F.col("l_quantity") * 1.4)
-    a = x.groupBy("l_suppkey").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.stddev_samp("l_extendedprice").alias("sd"), F.avg("l_extendedprice").alias("m"), F.percentile("e", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return a.select("l_suppkey", r("rmse").alias("rmse"), r(F.col("rmse") * 1000 / F.col("sd")).alias("rmse_by_sd"), r(F.col("sd") / F.col("m")).alias("cv"), r(F.col("q")[1], 4).alias("median"), r(F.col("q")[2] - F.col("q")[0], 4).alias("iqr"))
+    a = x.groupBy("l_suppkey").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.stddev_samp("l_extendedprice").alias("sd"), F.avg("l_extendedprice").alias("m"))
+    a = a.join(series.quantiles(x, ["l_suppkey"], "e", [0.25, 0.5, 0.75]), "l_suppkey")
+    return a.select("l_suppkey", r("rmse").alias("rmse"), r(F.col("rmse") * 1000 / F.col("sd")).alias("rmse_by_sd"), r(F.col("sd") / F.col("m")).alias("cv"), r("q1", 4).alias("median"), r(F.col("q2") - F.col("q0"), 4).alias("iqr"))
 
 
 def calendar_coverage(spark, sf):

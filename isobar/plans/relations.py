@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import linkage, metrics, quality
+from ..operators import linkage, metrics, quality, series
 from .base import r, rounded, table
 
 
@@ -55,7 +55,7 @@ def mad_low_flag(spark, sf):
 
 def speed_review(spark, sf):
     x = table(spark, sf, "lineitem")
-    f = x.join(F.broadcast(quality.upper_fences(x, ["l_suppkey"], "l_extendedprice", 0.95, 0.2)), "l_suppkey")
+    f = x.join(quality.upper_fences(x, ["l_suppkey"], "l_extendedprice", 0.95, 0.2), "l_suppkey")
     over = (F.col("l_extendedprice") > F.col("high_quantile")) & (F.col("l_extendedprice") > F.col("iqr_fence"))
     return f.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(over.cast("long")).alias("flagged"), r(F.max("iqr_fence"), 2).alias("fence"))
 
@@ -74,8 +74,8 @@ def descriptive_stats(spark, sf):
 def unit_detection(spark, sf):
     """By the median of a column, and row by row by ranges."""
     x = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    middle = x.groupBy("o_orderstatus").agg(F.median("o_totalprice").alias("m"))
-    by_group = x.join(F.broadcast(middle), "o_orderstatus").withColumn("kilo", F.when(F.col("m") > 100000, F.col("o_totalprice") / 1000).otherwise(F.col("o_totalprice")))
+    middle = series.quantiles(x, ["o_orderstatus"], "o_totalprice", [0.5]).select("o_orderstatus", F.col("q0").alias("m"))
+    by_group = x.join(middle, "o_orderstatus").withColumn("kilo", F.when(F.col("m") > 100000, F.col("o_totalprice") / 1000).otherwise(F.col("o_totalprice")))
     return by_group.select("o_orderkey", r("kilo").alias("by_group"), r(F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice") / 1000).otherwise(F.col("o_totalprice"))).alias("by_row"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,36 @@ def resolved(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return df.select(picks)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Without one a local session takes a temporary one, and a cluster is refused, as its machines' own folders are not shared."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='isobar-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def first_bytes(spark: SparkSession, path: str, most: int) -> bytes:
+    """The first bytes of the first file that is not empty, at most so many, whatever its size."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    files = sorted((str(f.getPath()), f.getLen()) for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+    for name, size in files:
+        if size:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, most)))
+            finally:
+                stream.close()
+    return b""
+
+
 def sniffed(spark: SparkSession, path: str, sample: int = 65536) -> tuple[str, str]:
     """(encoding, separator) of a text file, from its first bytes, read through Spark's own file systems."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample)).first()[0]
+    head = first_bytes(spark, path, sample)
     for encoding in ("utf-8", "gb18030"):
         try:
             text = bytes(head).decode(encoding, errors="strict" if len(head) < sample else "ignore")
@@ -43,8 +71,9 @@ def sniffed(spark: SparkSession, path: str, sample: int = 65536) -> tuple[str, s
 def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
     """All columns as text, then those of `types` cast; what doesn't parse is null."""
     encoding, sep = sniffed(spark, path)
-    if encoding == "gb18030":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark's reader takes a few character sets only
+    if encoding == "gb18030":  # Spark's reader takes a few character sets only, unless told to
+        spark = spark.newSession()
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("inferSchema", False).csv(path)
     return raw.withColumns({k: c.parse_number(k) if t == "double" else F.col(k).try_cast(t) for k, t in (types or {}).items() if k in raw.columns})
 
