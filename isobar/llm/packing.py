@@ -14,11 +14,10 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, numbered, small_batches, table
+from .common import add_columns, cut, gathered, numbered, small_batches, table, tidy
 from .tokens import TOGETHER, encoder, public, read_spec
 
 PER_CHUNK = 1000
@@ -91,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
             e = encoder(spec.value)
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             ids, counts = e.with_end(batch.column(1), end_id)
-            raw, end = ids.astype("<u4").tobytes(), 0
+            raw, end = memoryview(ids.astype("<u4")).cast("B"), 0
             for d, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
                 begin, end = end, end + n
                 for k, at in enumerate(range(0, n, capacity)):
@@ -103,13 +102,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
                     length.append(size)
                     crc.append(zlib.crc32(part))
                     if keep_ids:
-                        kept.append(part)
+                        kept.append(bytes(part))
             columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        tidy()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PIECE + (", ids binary" if keep_ids else ""))
 
@@ -122,9 +122,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
         counts[r["length"]] = r["count"]
     sent = rows.sparkSession.sparkContext.broadcast(_tables(plan(counts, capacity)))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
-        size, k = length.to_numpy(np.int64), number.to_numpy(np.int64)
+    def place(rows) -> dict:
+        size, k = rows.column("length").to_numpy(), rows.column("__number").to_numpy()
         sequence, offset = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
         order = np.argsort(size, kind="stable")
         edges = np.flatnonzero(np.diff(size[order], prepend=-1, append=-1))
@@ -135,12 +134,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
             step = k[i] - first[at]
             sequence[i] = bins[at] + step // each[at]
             offset[i] = offsets[base[at] + step % each[at]]
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+        return {"sequence_id": sequence, "offset": offset}
 
     # so many chunks for each length that each has about `PER_CHUNK` pieces, whatever the number of documents
     chunks = F.element_at(F.array(*[F.lit(int(n) // PER_CHUNK + 1) for n in counts]), F.col("length").cast("int") + 1)
     out = numbered(rows, ["length"], ["doc_id", "piece"], "__number", "doc_id", chunks)
-    return out.withColumn("__at", place("length", "__number")).select(*rows.columns, "__at.sequence_id", "__at.offset")
+    return add_columns(out, place, {"sequence_id": "long", "offset": "long"}, ("__number",), "length")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

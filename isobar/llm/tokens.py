@@ -132,6 +132,7 @@ class Encoder:
             lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values[offsets[0] : offsets[-1]].dictionary_encode()
+        del lists  # a worker's memory is short, and this is as large as the texts
         offsets = offsets - offsets[0]
         kinds, index = coded.dictionary, coded.indices.to_numpy()
         whole = pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), kinds)
@@ -142,23 +143,27 @@ class Encoder:
         if new:
             self._learn(new)
             raw = list(map(self.known.__getitem__, words))
-        bad = np.zeros(len(words), bool)
+        bad, empty = np.zeros(len(words), bool), np.fromiter((not w for w in words), bool, len(words))
         if self.odd:
             bad[:] = np.fromiter((w in self.odd for w in words), bool, len(words))
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.width
-        ids, start = np.frombuffer(b"".join(raw), self.dtype), np.cumsum(size) - size
+        del coded, kinds, whole, words
+        size = np.fromiter(map(len, raw), np.int32, len(raw)) // np.int32(self.width)
+        ids, start = np.frombuffer(b"".join(raw), self.dtype), np.cumsum(size, dtype=np.int64) - size
         take, from_ = size[index], start[index]
         odd = np.zeros(n, bool)
         if spaced:
-            empty = np.fromiter((not w for w in words), bool, len(words))
             wrong = np.concatenate(([0], np.cumsum(bad[index] + empty[index].astype(np.int64))))
             odd = wrong[offsets[1:]] - wrong[offsets[:-1]] != 1  # the piece before the first space is empty, and no other
             first = offsets[:-1] + 1
             dropped = np.minimum(take[first], len(self.newline))
             take[first] -= dropped
             from_[first] += dropped
-        place = np.concatenate(([0], np.cumsum(take)))
-        out = ids[np.repeat(from_ - place[:-1], take) + np.arange(place[-1])]
+        place = np.concatenate(([0], np.cumsum(take, dtype=np.int64)))
+        kind = np.int32 if max(place[-1], len(ids)) < 1 << 30 else np.int64
+        at = np.repeat((from_ - place[:-1]).astype(kind), take)
+        at += np.arange(place[-1], dtype=kind)
+        out = ids[at]
+        del at, raw
         counts = place[offsets[1:]] - place[offsets[:-1]]
         if not odd.any():
             return out, counts
