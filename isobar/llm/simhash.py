@@ -15,15 +15,13 @@ aside. Input columns named like an added one are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, components, cut, discard, own_names, small_batches, table, without
+from .common import add_columns, attach, components, cut, discard, own_names, table, without
 
 ADDED = ["fingerprint", "component_id", "component_fp"]
 
@@ -47,15 +45,9 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, text_col: str, name: str, shingle: int) -> DataFrame:
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf("long")
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="uint64").astype("int64")
-
-    return docs.withColumn(name, signed(F.col(text_col)))
+def with_fingerprints(docs: DataFrame, text_col: str, name: str, shingle: int, keep_text: bool = True) -> DataFrame:
+    compute = lambda rows: {name: np.array([fingerprint(t, shingle) for t in rows.column(text_col).to_pylist()], np.uint64).view(np.int64)}
+    return add_columns(docs, compute, {name: "long"}, () if keep_text else (text_col,), text_col)
 
 
 def _masks(blocks: int, distance: int) -> list[int]:
@@ -94,8 +86,7 @@ def links(fingerprints: DataFrame, distance: int = 2, blocks: int = 5, most: int
 @own_names
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, keep_text: bool = True) -> DataFrame:
     """All rows and columns of docs with fingerprint (16 hex digits), component_id and component_fp, its smallest fingerprint (signed order)."""
-    rows = with_fingerprints(without(docs, ADDED), text_col, "__fp", shingle)
-    rows = cut(rows if keep_text else rows.drop(text_col), "simhash-rows")
+    rows = cut(with_fingerprints(without(docs, ADDED), text_col, "__fp", shingle, keep_text), "simhash-rows")
     each = cut(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "simhash-fps")
     edges, met = links(each.select("fp"), distance)
     found = components(edges, "simhash-cc")
