@@ -14,14 +14,14 @@ def hashed_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def cluster_bootstrap(clusters: DataFrame, number: str, sums: list[str], draws: int, statistic: Column) -> DataFrame:
+def cluster_bootstrap(clusters: DataFrame, number: str, sums: list[str], draws: int, statistic: Column, salt: str | None = None) -> DataFrame:
     """(draw, stat): clusters(number 0 to n - 1, sums) drawn n at a time with replacement; statistic is over the drawn sums.
 
     draws * n rows for n clusters; the rows under the clusters are aggregated once and never resampled.
     """
     n = clusters.agg(F.count("*").alias("__n"))
     slots = n.select("__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("__n", "draw", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("slot"))
-    picked = slots.withColumn(number, F.floor(hashed_uniform(F.col("draw"), F.col("slot")) * F.col("__n")).cast("long"))
+    picked = slots.withColumn(number, F.floor(hashed_uniform(*([F.lit(salt)] if salt else []), F.col("draw"), F.col("slot")) * F.col("__n")).cast("long"))
     drawn = picked.join(clusters, number).groupBy("draw").agg(*[F.sum(s).alias(s) for s in sums])
     return drawn.select(F.col("draw").cast("long").alias("draw"), statistic.alias("stat"))
 

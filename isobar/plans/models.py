@@ -79,11 +79,11 @@ def _drained(stream, mode="append"):
 
 
 def stream_tumbling(spark, sf):
-    return _drained(streams.tumbling(streams.source(spark, f"{sf}/events.parquet"), "ts", "event_type", "value", "1 day", "1 hour"), "complete")
+    return _drained(streams.tumbling(streams.source(spark, f"{sf}/events.parquet"), "ts", "event_type", "value", "1 day", "1 hour"), "complete").select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", r("total", 4).alias("total"))
 
 
 def stream_sessions(spark, sf):
-    return _drained(streams.sessions(streams.source(spark, f"{sf}/events.parquet"), "ts", "user_id", "value", "12 hours", "1 hour"), "complete")
+    return _drained(streams.sessions(streams.source(spark, f"{sf}/events.parquet"), "ts", "user_id", "value", "12 hours", "1 hour"), "complete").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n", r("total", 4).alias("total"))
 
 
 def stream_dedup(spark, sf):
@@ -97,3 +97,11 @@ def stream_jump_state(spark, sf):
 QUERIES = {f.__name__: f for f in (
     regressors, ablation, leave_one_out, partial_dependence, permutation_importance, ridge_search, polynomial_fits, knn_support, box_partition, stream_tumbling, stream_sessions, stream_dedup, stream_jump_state,
 )}
+
+SQL = {
+    "stream_tumbling": "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS window_start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL",
+    "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts)::TIMESTAMP AS session_start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM n GROUP BY user_id, s""",
+    "stream_jump_state": """WITH g AS (SELECT user_id, value, lag(value) OVER w AS v, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60000000.0::DOUBLE AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+      SELECT user_id AS entity, (count(*) FILTER (WHERE gap IS NULL OR gap > 1440 OR (gap > 0 AND abs(value - v) / gap * 60 > 500)))::BIGINT AS sessions, count(*) AS rows FROM g GROUP BY 1""",
+}

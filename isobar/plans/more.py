@@ -175,7 +175,7 @@ def label_permutation(spark, sf):
 
 def balanced_bootstrap(spark, sf):
     """The entity-balanced mean, entities drawn."""
-    k = table(spark, sf, "lineitem").filter("l_suppkey <= 12").groupBy((F.col("l_suppkey") - 1).alias("c")).agg(r(F.avg("l_quantity"), 5).alias("m")).withColumn("one", F.lit(1.0))
+    k = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("c")).agg(r(F.avg("l_quantity"), 5).alias("m")).withColumn("one", F.lit(1.0))
     b = statistics.cluster_bootstrap(k, "c", ["m", "one"], 300, F.col("m") / F.col("one"))
     return b.agg(r(F.avg("stat"), 5).alias("mean"), r(F.percentile("stat", 0.025), 5).alias("low"), r(F.percentile("stat", 0.975), 5).alias("high"))
 
@@ -221,7 +221,8 @@ SQL = {
     "extent": f"WITH {TELEMETRY} SELECT count(*) AS n, count(reading) AS valid, min(ts) AS first_ts, max(ts) AS last_ts, {R('min(lat)')} AS min_lat, {R('max(lat)')} AS max_lat, {R('min(lon)')} AS min_lon, {R('max(lon)')} AS max_lon FROM t",
     "positional_zip": """WITH a AS (SELECT event_type, ts AS a, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), b AS (SELECT event_type, ts AS b, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events)
       SELECT event_type, count(*) AS n, sum((a <> b)::INT)::BIGINT AS mismatched FROM a JOIN b USING (event_type, k) GROUP BY 1""",
-    "validated_merge": "SELECT 1::BIGINT AS left_most, 1::BIGINT AS right_most, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS matched, true AS one_to_one",
+    "validated_merge": """WITH p AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1), l AS (SELECT max(n) AS left_most FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey)),
+      q AS (SELECT max(n) AS right_most FROM (SELECT count(*) AS n FROM p GROUP BY k)) SELECT left_most, right_most, (SELECT count(*) FROM customer JOIN p ON c_custkey = k) AS matched, left_most = 1 AND right_most = 1 AS one_to_one FROM l, q""",
     "escalating_key": """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS id, count(*) OVER (PARTITION BY l_orderkey, l_shipdate) AS n, count(*) OVER (PARTITION BY l_orderkey, l_shipdate, round(l_extendedprice)) AS m FROM lineitem)
       SELECT CASE WHEN n = 1 THEN 'key' WHEN m = 1 THEN 'key_price' ELSE 'ambiguous' END AS level, count(*) AS n, sum(id)::BIGINT AS ids FROM a GROUP BY 1""",
     "dateline": f"WITH {TELEMETRY} SELECT lon >= 150 OR lon <= -150 AS inside, count(*) AS n, {R('avg(abs(((lon - 180 + 180) % 360 + 360) % 360 - 180))', 4)} AS mean_distance FROM t GROUP BY 1",
@@ -242,13 +243,14 @@ SQL = {
       SELECT user_id, hour, count(*) AS slots, sum(rows)::BIGINT AS rows, {R('CASE WHEN count(*) = 2 THEN avg(v) END')} AS value FROM s GROUP BY 1, 2""",
     "distance_fallback": f"""WITH {TELEMETRY}, {STEPS} SELECT event_id, {R('coalesce(CASE WHEN event_id % 4 = 0 THEN value / 10 END, CASE WHEN g BETWEEN 1 AND 300 THEN d END, reading / 6)', 3)} AS distance,
       CASE WHEN event_id % 4 = 0 THEN 'given' WHEN g BETWEEN 1 AND 300 THEN 'track' WHEN reading IS NOT NULL THEN 'speed' END AS source FROM m""",
-    "unit_consistency": "SELECT l_returnflag, count(*) AS n, sum((l_linenumber <> 3)::INT)::BIGINT AS consistent FROM lineitem GROUP BY 1",
+    "unit_consistency": """WITH x AS (SELECT l_returnflag, l_quantity::DOUBLE * 60 AS rate, l_quantity::DOUBLE / 100 + CASE WHEN l_linenumber = 3 THEN 1e-6::DOUBLE ELSE 0.0::DOUBLE END AS t FROM lineitem)
+      SELECT l_returnflag, count(*) AS n, sum((abs(rate / 6000 - t) <= 1e-10)::INT)::BIGINT AS consistent FROM x GROUP BY 1""",
     "month_days": """WITH d AS (SELECT DISTINCT ts::DATE + k AS d FROM events, (SELECT unnest([0, 1])::INT AS k)) SELECT strftime(d, '%Y-%m') AS month, count(*) AS days, string_agg(DISTINCT strftime(d, '%d'), ',' ORDER BY strftime(d, '%d')) AS listed FROM d GROUP BY 1""",
     "cluster_sums": f"WITH {E} SELECT l_suppkey, count(*) AS n, {R('sum(e * e)', 3)} AS sse, {R('sum(abs(e))', 3)} AS sae, {R('stddev_samp(e)')} AS sd, {R('stddev_pop(e)')} AS sd_pop FROM x GROUP BY 1",
     "label_permutation": f"""WITH k AS (SELECT l_suppkey, {R('avg(l_quantity)', 4)} AS m, l_suppkey % 2 AS g FROM lineitem GROUP BY 1), p AS (SELECT range AS draw, m, row_number() OVER (PARTITION BY range ORDER BY md5(range || '|' || l_suppkey), l_suppkey) AS place FROM k, range(200)),
       s AS (SELECT draw, avg(m) FILTER (WHERE place <= (SELECT sum(g) FROM k)) - avg(m) FILTER (WHERE place > (SELECT sum(g) FROM k)) AS stat FROM p GROUP BY 1), o AS (SELECT avg(m) FILTER (WHERE g = 1) - avg(m) FILTER (WHERE g = 0) AS seen FROM k)
       SELECT {R('(SELECT seen FROM o)', 5)} AS observed, {R('avg((abs(stat) >= abs((SELECT seen FROM o)) - 1e-9)::INT)', 4)} AS p_value FROM s""",
-    "balanced_bootstrap": f"""WITH k AS (SELECT l_suppkey - 1 AS c, {R('avg(l_quantity)', 5)} AS m FROM lineitem WHERE l_suppkey <= 12 GROUP BY 1), d AS (SELECT a.range AS draw, floor({HASH} * (SELECT count(*) FROM k))::BIGINT AS c FROM range(300) a, range((SELECT count(*) FROM k)) b),
+    "balanced_bootstrap": f"""WITH k AS (SELECT l_suppkey AS c, {R('avg(l_quantity)', 5)} AS m FROM lineitem GROUP BY 1), d AS (SELECT a.range AS draw, floor({HASH} * (SELECT count(*) FROM k))::BIGINT AS c FROM range(300) a, range((SELECT count(*) FROM k)) b),
       f AS (SELECT draw, sum(m) / count(*) AS stat FROM d JOIN k USING (c) GROUP BY 1) SELECT {R('avg(stat)', 5)} AS mean, {R('quantile_cont(stat, 0.025)', 5)} AS low, {R('quantile_cont(stat, 0.975)', 5)} AS high FROM f""",
     "residual_spread": f"""WITH {E} SELECT l_suppkey, {R('sqrt(avg(e * e))')} AS rmse, {R('sqrt(avg(e * e)) * 1000 / stddev_samp(l_extendedprice)')} AS rmse_by_sd, {R('stddev_samp(l_extendedprice) / avg(l_extendedprice)')} AS cv, {R('median(e)', 4)} AS median,
       {R('quantile_cont(e, 0.75) - quantile_cont(e, 0.25)', 4)} AS iqr FROM x GROUP BY 1""",

@@ -138,8 +138,8 @@ def table_diff(spark, sf):
 
 
 def outer_indicator(spark, sf):
-    a = table(spark, sf, "customer").filter("c_custkey % 3 > 0").select("c_custkey", "c_acctbal")
-    b = table(spark, sf, "orders").filter("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    a = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    b = table(spark, sf, "orders").groupBy((F.col("o_custkey") + 100).alias("c_custkey")).agg(F.count("*").alias("orders"))
     return linkage.outer_with_side(a, b, ["c_custkey"]).groupBy("side").agg(F.count("*").alias("n"), F.sum("orders").alias("orders"), r(F.sum("c_acctbal"), 2).alias("balance"))
 
 
@@ -179,8 +179,7 @@ def union_by_name(spark, sf):
 
 
 def entity_sets(spark, sf):
-    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).filter("c_custkey % 40 = 0")
-    b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).filter("s_suppkey % 7 = 0")
+    a, b = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
     count = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("set"), "n")
     return count(a.intersect(b), "both").unionByName(count(a.distinct().exceptAll(b.distinct()), "left")).unionByName(count(a.union(b).distinct(), "any"))
 
@@ -305,7 +304,7 @@ SQL = {
       f AS (SELECT a.k AS ak, b.k AS bk, coalesce(abs(a.v - b.v) > 1e-6 + 1e-6 * abs(b.v), (a.v IS NULL) <> (b.v IS NULL)) AS dv, coalesce(abs(a.c - b.c) > 1e-6 + 1e-6 * abs(b.c), (a.c IS NULL) <> (b.c IS NULL)) AS dc FROM a FULL JOIN b ON a.k = b.k)
       SELECT variable, (SELECT count(*) FROM f WHERE ak IS NOT NULL AND bk IS NOT NULL) AS both, (SELECT count(*) FROM f WHERE bk IS NULL) AS left_only, (SELECT count(*) FROM f WHERE ak IS NULL) AS right_only,
       (SELECT count(*) FROM f WHERE ak IS NOT NULL AND bk IS NOT NULL AND CASE WHEN variable = 'cust' THEN dc ELSE dv END) AS differing FROM (SELECT unnest(['o_totalprice', 'cust']) AS variable)""",
-    "outer_indicator": f"""WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT o_custkey AS k, count(*) AS orders FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
+    "outer_indicator": f"""WITH a AS (SELECT c_custkey, c_acctbal FROM customer), b AS (SELECT o_custkey + 100 AS k, count(*) AS orders FROM orders GROUP BY 1)
       SELECT CASE WHEN c_custkey IS NULL THEN 'right_only' WHEN k IS NULL THEN 'left_only' ELSE 'both' END AS side, count(*) AS n, sum(orders)::BIGINT AS orders, {R('sum(c_acctbal)', 2)} AS balance FROM a FULL JOIN b ON c_custkey = k GROUP BY 1""",
     "overlay": f"SELECT c_custkey, c_mktsegment, {R('CASE WHEN c_custkey % 4 = 0 THEN -c_acctbal ELSE c_acctbal END', 2)} AS c_acctbal, c_custkey % 4 = 0 AS overlaid FROM customer",
     "semi_anti": """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)) AS with_large, count(*) FILTER (WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)) AS without FROM orders GROUP BY 1""",
@@ -313,7 +312,7 @@ SQL = {
     "duplicate_keys": "SELECT copies, count(*) AS keys FROM (SELECT count(*) AS copies FROM lineitem GROUP BY l_partkey, l_suppkey) GROUP BY 1",
     "null_safe_difference": "SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END IS NOT DISTINCT FROM CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS same, count(*) AS n FROM orders GROUP BY 1",
     "union_by_name": "WITH u AS (SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_nationkey AS nation, s_suppkey AS id FROM supplier) SELECT nation, coalesce(segment, 'none') AS segment, count(*) AS n, sum(id)::BIGINT AS ids FROM u GROUP BY 1, 2",
-    "entity_sets": """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 40 = 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 7 = 0)
+    "entity_sets": """WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
       SELECT 'both' AS set, (SELECT count(*) FROM a WHERE k IN (FROM b)) AS n UNION ALL SELECT 'left', (SELECT count(*) FROM a WHERE k NOT IN (FROM b)) UNION ALL SELECT 'any', (SELECT count(*) FROM (FROM a UNION FROM b))""",
     "jaccard_topk": f"""WITH x AS (SELECT l_partkey AS k, sum(l_quantity) AS q, sum(l_extendedprice) AS p FROM lineitem GROUP BY 1), a AS (SELECT k FROM x ORDER BY q DESC, k LIMIT 200), b AS (SELECT k FROM x ORDER BY p DESC, k LIMIT 200), s AS (SELECT count(*) AS n FROM a JOIN b USING (k))
       SELECT n AS shared, {R('n / (400.0::DOUBLE - n)')} AS jaccard FROM s""",

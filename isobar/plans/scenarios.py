@@ -40,7 +40,7 @@ def fixed_time(spark, sf):
 
 
 def interval_expand(spark, sf):
-    v = _voyages(spark, sf).filter("l_orderkey % 10 = 0").withColumn("eighths", F.floor(F.col("minutes") * 8) / 8)
+    v = _voyages(spark, sf).withColumn("eighths", F.floor(F.col("minutes") * 8) / 8)
     i = scenarios.intervals(v, "eighths")
     return i.groupBy("kind").agg(F.count("*").alias("intervals"), r(F.sum("interval_minutes"), 3).alias("minutes"), F.max("interval_no").cast("bigint").alias("most"), r(F.sum(F.col("rate") * F.col("interval_minutes") / 10), 4).alias("fuel"))
 
@@ -57,7 +57,7 @@ def perturbations(spark, sf):
 
 
 def grid_search_best(spark, sf):
-    v = scenarios.with_levels(scenarios.with_levels(_voyages(spark, sf).filter("l_orderkey % 20 = 0"), [0.0, 5.0, 10.0], "cut"), [-1.0, 0.0, 1.0], "trim")
+    v = scenarios.with_levels(scenarios.with_levels(_voyages(spark, sf), [0.0, 5.0, 10.0], "cut"), [-1.0, 0.0, 1.0], "trim")
     speed = F.col("speed") * (1 - F.col("cut") / 100)
     g = v.groupBy("kind", "cut", "trim").agg(r(F.avg(_rate(speed, F.col("wave")) * (1 + F.col("trim") * F.col("trim") / 100))).alias("cost"), F.sum((speed > 10).cast("long")).alias("kept"))
     return scenarios.best_by(g, ["kind"], "cost", "kept", ["cut", "trim", "cost", "kept"])
@@ -112,14 +112,15 @@ def pair_halves(spark, sf):
     return p.select("user_id", "hour", r("a").alias("first_half"), r("b").alias("second_half"))
 
 
-def _clusters(spark, sf, n: int = 12):
-    x = _voyages(spark, sf).filter(f"l_suppkey <= {n}")
+def _clusters(spark, sf, n: int | None = None):
+    """Suppliers as clusters; with n, all suppliers in as many groups."""
     d = F.col("rate") - 0.3
-    return x.groupBy((F.col("l_suppkey") - 1).alias("c")).agg(F.sum(d * d).alias("sse"), F.count("*").cast("double").alias("n"), F.sum(F.abs(d)).alias("sae"), r(F.avg(d)).alias("diff"))
+    number = F.col("l_suppkey")
+    return _voyages(spark, sf).groupBy((number % n if n else number).alias("c")).agg(F.sum(d * d).alias("sse"), F.count("*").cast("double").alias("n"), F.sum(F.abs(d)).alias("sae"), r(F.avg(d)).alias("diff"))
 
 
 def signflip_exact(spark, sf):
-    s = statistics.sign_flip(_clusters(spark, sf).select("c", "diff"), "c", "diff", 12)
+    s = statistics.sign_flip(_clusters(spark, sf, 12).select("c", "diff"), "c", "diff", 12)
     return s.select(r("observed_mean", 5).alias("observed_mean"), r("p_value").alias("p_value"))
 
 
@@ -181,21 +182,21 @@ RATE = "(0.04::DOUBLE + 1e-4 * {s} * {s} * {s} + 0.004::DOUBLE * wave)"
 VOYAGES = f"""v0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag AS kind, 8 + l_quantity / 5 AS speed, l_extendedprice / 2000 AS distance, l_tax AS wave FROM lineitem),
   v AS (SELECT *, distance / speed * 60 AS minutes, {RATE.format(s='speed')} AS rate FROM v0)"""
 SLOWER = f"""{VOYAGES}, z0 AS (SELECT *, 1 - level / 100 AS ratio, speed * (1 - level / 100) AS slow FROM v, (SELECT unnest([5.0::DOUBLE, 10, 15]) AS level)), z AS (SELECT *, {RATE.format(s='slow')} AS slow_rate FROM z0)"""
-CLUSTERS = f"k AS (SELECT l_suppkey - 1 AS c, sum((rate - 0.3::DOUBLE) ** 2) AS sse, count(*)::DOUBLE AS n, sum(abs(rate - 0.3::DOUBLE)) AS sae, {R('avg(rate - 0.3::DOUBLE)')} AS diff FROM v WHERE l_suppkey <= 12 GROUP BY 1)"
+CLUSTERS = lambda c: f"k AS (SELECT {c} AS c, sum((rate - 0.3::DOUBLE) ** 2) AS sse, count(*)::DOUBLE AS n, sum(abs(rate - 0.3::DOUBLE)) AS sae, {R('avg(rate - 0.3::DOUBLE)')} AS diff FROM v GROUP BY 1)"
 PLACED = "p AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY {k}) AS total FROM events)"
 
 SQL = {
     "support_mask": f"""WITH {SLOWER}, b AS (SELECT kind, min(speed) AS lo, max(speed) AS hi FROM v WHERE l_orderkey % 5 > 0 AND speed >= 9.5 GROUP BY 1)
       SELECT kind, level, count(*) AS n, sum((slow BETWEEN lo AND hi)::INT)::BIGINT AS supported, {R('100 * avg((slow BETWEEN lo AND hi)::INT)')} AS retained_pct FROM z JOIN b USING (kind) WHERE l_orderkey % 5 = 0 GROUP BY 1, 2""",
     "fixed_time": f"WITH {SLOWER} SELECT kind, level, {R('sum(rate)', 4)} AS before, {R('sum(slow_rate)', 4)} AS after, {R('100 * (sum(slow_rate) / sum(rate) - 1)')} AS change_pct, {R('avg(ln(slow_rate / rate) / ln(ratio))')} AS elasticity FROM z GROUP BY 1, 2",
-    "interval_expand": f"""WITH {VOYAGES}, a AS (SELECT *, floor(minutes * 8) / 8 AS t FROM v WHERE l_orderkey % 10 = 0), b AS (SELECT *, floor((t + 1e-10) / 10) AS w, t - floor((t + 1e-10) / 10) * 10 AS rest FROM a WHERE t > 1e-10),
+    "interval_expand": f"""WITH {VOYAGES}, a AS (SELECT *, floor(minutes * 8) / 8 AS t FROM v), b AS (SELECT *, floor((t + 1e-10) / 10) AS w, t - floor((t + 1e-10) / 10) * 10 AS rest FROM a WHERE t > 1e-10),
       c AS (SELECT *, (w + (rest > 1e-10)::INT)::BIGINT AS total FROM b), d AS (SELECT *, unnest(range(1, total + 1)) AS i FROM c), e AS (SELECT *, CASE WHEN i = total AND rest > 1e-10 THEN rest ELSE 10.0::DOUBLE END AS m FROM d)
       SELECT kind, count(*) AS intervals, {R('sum(m)', 3)} AS minutes, max(i) AS most, {R('sum(rate * m / 10)', 4)} AS fuel FROM e GROUP BY 1""",
     "fuel_time_decomposition": f"""WITH {SLOWER}, a AS (SELECT kind, level, sum(rate * minutes) AS f0, sum(slow_rate * minutes / ratio) AS f1, sum(minutes) AS t0, sum(minutes / ratio) AS t1 FROM z GROUP BY 1, 2)
       SELECT kind, level, {R('(f1 / t1) / (f0 / t0)')} AS rate_ratio, {R('t1 / t0')} AS time_ratio, {R('f1 / f0')} AS total_ratio, {R('ln((f1 / t1) / (f0 / t0))')} AS log_rate, {R('ln(t1 / t0)')} AS log_time, {R('ln(f1 / f0)')} AS log_total FROM a""",
     "perturbations": f"""WITH {VOYAGES}, q AS (SELECT kind, u AS perturbation, CASE WHEN u = 'speed' THEN speed * 1.05::DOUBLE ELSE speed END AS s, CASE WHEN u = 'wave' THEN wave * 1.1::DOUBLE WHEN u = 'shift' THEN wave + 1 ELSE wave END AS wave
       FROM v, (SELECT unnest(['base', 'speed', 'wave', 'shift']) AS u)) SELECT kind, perturbation, {R('avg(' + RATE.format(s='s') + ')')} AS mean_rate FROM q GROUP BY 1, 2""",
-    "grid_search_best": f"""WITH {VOYAGES}, q AS (SELECT *, speed * (1 - cut / 100) AS s FROM v, (SELECT unnest([0.0::DOUBLE, 5, 10]) AS cut), (SELECT unnest([-1.0::DOUBLE, 0, 1]) AS trim) WHERE l_orderkey % 20 = 0),
+    "grid_search_best": f"""WITH {VOYAGES}, q AS (SELECT *, speed * (1 - cut / 100) AS s FROM v, (SELECT unnest([0.0::DOUBLE, 5, 10]) AS cut), (SELECT unnest([-1.0::DOUBLE, 0, 1]) AS trim)),
       g AS (SELECT kind, cut, trim, {R('avg(' + RATE.format(s='s') + ' * (1 + trim * trim / 100))')} AS cost, sum((s > 10)::INT)::BIGINT AS kept FROM q GROUP BY 1, 2, 3)
       SELECT kind, cut, trim, cost, kept FROM g QUALIFY row_number() OVER (PARTITION BY kind ORDER BY cost, kept DESC) = 1""",
     "chrono_split": f"""WITH {PLACED.format(k='event_type')} SELECT event_type, CASE WHEN place / total::DOUBLE <= 0.7::DOUBLE THEN 'train' WHEN place / total::DOUBLE <= 0.7::DOUBLE + 0.15::DOUBLE THEN 'valid' ELSE 'test' END AS split, count(*) AS n, min(event_id) AS first_id, max(ts) AS last_ts FROM p GROUP BY 1, 2""",
@@ -211,9 +212,9 @@ SQL = {
       SELECT o_orderpriority, quantile, first(o_orderkey ORDER BY abs(o_totalprice - v), o_orderkey) AS o_orderkey FROM orders JOIN q USING (o_orderpriority) GROUP BY 1, 2""",
     "pair_halves": f"""WITH a AS (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, avg(value) FILTER (WHERE minute(ts) < 30) AS a, avg(value) FILTER (WHERE minute(ts) >= 30) AS b FROM events GROUP BY user_id, date_trunc('hour', ts))
       SELECT user_id, hour, {R('a')} AS first_half, {R('b')} AS second_half FROM a WHERE a IS NOT NULL AND b IS NOT NULL""",
-    "signflip_exact": f"""WITH {VOYAGES}, {CLUSTERS}, m AS (SELECT range AS mask FROM range(4096)), s AS (SELECT mask, sum(diff * CASE WHEN (mask >> c) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0 END) AS total FROM m, k GROUP BY 1)
+    "signflip_exact": f"""WITH {VOYAGES}, {CLUSTERS("l_suppkey % 12")}, m AS (SELECT range AS mask FROM range(4096)), s AS (SELECT mask, sum(diff * CASE WHEN (mask >> c) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0 END) AS total FROM m, k GROUP BY 1)
       SELECT {R('(SELECT total FROM s WHERE mask = 0) / 12', 5)} AS observed_mean, {R('avg((abs(total) >= abs((SELECT total FROM s WHERE mask = 0)) - 1e-9)::INT)')} AS p_value FROM s""",
-    "hashed_bootstrap": f"""WITH {VOYAGES}, {CLUSTERS}, d AS (SELECT a.range AS draw, floor((('0x' || substr(md5(a.range || '|' || b.range), 1, 13))::BIGINT)::DOUBLE / 4503599627370496::DOUBLE * (SELECT count(*) FROM k))::BIGINT AS c FROM range(400) a, range((SELECT count(*) FROM k)) b),
+    "hashed_bootstrap": f"""WITH {VOYAGES}, {CLUSTERS("l_suppkey")}, d AS (SELECT a.range AS draw, floor((('0x' || substr(md5(a.range || '|' || b.range), 1, 13))::BIGINT)::DOUBLE / 4503599627370496::DOUBLE * (SELECT count(*) FROM k))::BIGINT AS c FROM range(400) a, range((SELECT count(*) FROM k)) b),
       f AS (SELECT draw, sqrt(sum({R('sse', 4)}) / sum(n)) - sum({R('sae', 4)}) / sum(n) AS stat FROM d JOIN k USING (c) GROUP BY 1)
       SELECT count(*) AS draws, {R('avg(stat)')} AS mean, {R('quantile_cont(stat, 0.025)')} AS low, {R('quantile_cont(stat, 0.975)')} AS high FROM f""",
     "two_sample": f"""WITH a AS (SELECT value, count(*) FILTER (WHERE event_type = 'click') AS x, count(*) FILTER (WHERE event_type = 'view') AS y FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),

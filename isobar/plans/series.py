@@ -73,8 +73,8 @@ def carry_forward(spark, sf):
 
 def temporal_bracket(spark, sf):
     e = table(spark, sf, "events")
-    line = e.filter("event_id % 3 = 0").select("event_type", "ts")
-    found = series.brackets(line, e.filter("event_id % 3 = 1").select("event_id", "event_type", "ts"), ["event_type"], "ts")
+    line = e.filter("value > 50").select("event_type", "ts")  # all events between those of large values
+    found = series.brackets(line, e.select("event_id", "event_type", "ts"), ["event_type"], "ts")
     span = c.minutes_between("lower_ts", "upper_ts")
     weight = F.when(span == 0, 0.0).when(span <= 2880, c.minutes_between("lower_ts", "ts") / F.nullif(span, F.lit(0.0)))
     return found.select("event_id", "lower_ts", "upper_ts", r(weight).alias("weight"))
@@ -138,7 +138,7 @@ def grid_nodes(spark, sf):
 
 
 def circular_span(spark, sf):
-    t = telemetry(spark, sf).filter("lon < 60").withColumn("bin", c.tile("lon", -180, 10, 36))
+    t = telemetry(spark, sf).withColumn("bin", c.tile(F.col("lon") / 2, -180, 10, 36))
     return grid.circular_span(t, ["event_type"], "bin", 36)
 
 
@@ -219,7 +219,7 @@ SQL = {
       n AS (SELECT *, {RUN} AS island_no FROM g), q AS (SELECT user_id, island_no, count(*) AS n, {rounded(gap('min(ts)', 'max(ts)'), 4)} AS minutes FROM n WHERE z GROUP BY ALL)
       SELECT *, CASE WHEN n = 1 THEN 'single' WHEN minutes <= 1440 THEN 'day' ELSE 'longer' END AS bucket FROM q""",
     "carry_forward": f"""WITH {TELEMETRY} SELECT event_id, last_value(reading IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_reading FROM t""",
-    "temporal_bracket": f"""WITH l AS (SELECT DISTINCT event_type, ts FROM events WHERE event_id % 3 = 0), q AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 3 = 1),
+    "temporal_bracket": f"""WITH l AS (SELECT DISTINCT event_type, ts FROM events WHERE value > 50), q AS (SELECT event_id, event_type, ts FROM events),
       a AS (SELECT q.*, l.ts AS lower_ts FROM q ASOF LEFT JOIN l ON q.event_type = l.event_type AND q.ts >= l.ts), b AS (SELECT a.*, l.ts AS upper_ts FROM a ASOF LEFT JOIN l ON a.event_type = l.event_type AND a.ts <= l.ts)
       SELECT event_id, lower_ts, upper_ts, {rounded(f"CASE WHEN {gap('lower_ts', 'upper_ts')} = 0 THEN 0.0 WHEN {gap('lower_ts', 'upper_ts')} <= 2880 THEN {gap('lower_ts', 'ts')} / nullif({gap('lower_ts', 'upper_ts')}, 0) END")} AS weight FROM b""",
     "angles": f"""WITH {TELEMETRY} SELECT event_id, {rounded('((lon * 3) % 360 + 360) % 360')} AS wrapped, {rounded('((angle + 200) + 180) % 360 - 180')} AS wrapped_180, {rounded(REL)} AS relative,
@@ -234,7 +234,7 @@ SQL = {
     "tile_route": f"""WITH {TELEMETRY}, q AS (SELECT floor((lat + 90) / 10)::INT AS tile_row, floor((lon + 180) / 10)::INT AS c FROM t)
       SELECT CASE WHEN c % 5 > 0 THEN 'p' || c ELSE 'none' END AS part, tile_row, count(*) AS n FROM q GROUP BY ALL""",
     "grid_nodes": f"WITH {TELEMETRY}, {CELLS} SELECT i, count(DISTINCT j) AS nodes FROM k GROUP BY i",
-    "circular_span": f"""WITH {TELEMETRY}, b AS (SELECT DISTINCT event_type, floor((lon + 180) / 10)::INT AS bin FROM t WHERE lon < 60),
+    "circular_span": f"""WITH {TELEMETRY}, b AS (SELECT DISTINCT event_type, floor((lon / 2 + 180) / 10)::INT AS bin FROM t),
       g AS (SELECT event_type, coalesce(lead(bin) OVER (PARTITION BY event_type ORDER BY bin), min(bin) OVER (PARTITION BY event_type) + 36) - bin AS gap FROM b)
       SELECT event_type, (36 - max(gap) + 1)::BIGINT AS span_bins FROM g GROUP BY event_type""",
     "request_areas": f"""WITH {TELEMETRY} SELECT event_type, floor((min(lat) - 0.3) / 0.5) * 0.5 AS south, ceil((max(lat) + 0.3) / 0.5) * 0.5 AS north, floor((min(lon) - 0.3) / 0.5) * 0.5 AS west, ceil((max(lon) + 0.3) / 0.5) * 0.5 AS east
