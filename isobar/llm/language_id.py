@@ -2,12 +2,12 @@
 
 The kernel of two texts is the blended spectrum of character n-grams of lengths 1 to 4: for each length the number of
 n-grams present in both over the geometric mean of the numbers in each, and the mean of the four. `landmarks` training
-windows span a Nyström feature space; one ridge regression for each language tells it from the rest. A text is scored
+windows, one of a text, span a Nyström feature space; one ridge regression for each language tells it from the rest. A text is scored
 in windows of `width` letters and spaces, all of it, by products of presence matrices with the landmarks' and then
 with the weights; a text's score is the mean over its windows by their length, and the largest of all languages wins.
 
-Training takes up to `per_language` labelled rows a language, those of least hashed id, and up to `windows` evenly
-placed windows of each: a bounded sample, and the only bound. All else reads whole texts. n-grams are hashed into
+Training takes up to `per_language` labelled rows a language, those of least hashed id: a bounded sample, and the only
+bound. All windows of each sampled text are learned from, a text at a time, each text weighing as much as another. n-grams are hashed into
 fixed tables. Null text and text without a letter are "und" with score 0; so is all text if no label is there to
 learn from. Ties go to the first language by name. Repeated rows score alike; an empty table gives an empty result.
 Input columns named like an added one are replaced.
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, own_names, table, without
+from .common import add_columns, cut, discard, own_names, table, without
 
 ADDED = ["lang_pred", "score"]
 #: Presence tables of 1-grams to 4-grams.
@@ -73,25 +73,47 @@ def scaled(x: np.ndarray) -> list[np.ndarray]:
 
 
 class Model:
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int, ridge: float, width: int):
-        self.langs, self.width = sorted(set(langs)), width
+    """rows(): (text, language) of the training rows, each time it is called; one text is held at a time."""
+
+    def __init__(self, rows, landmarks: int, ridge: float, width: int, batch: int = 64):
+        self.width = width
+        count: dict[str, int] = {}
+        for text, lang in rows():
+            if _LETTER.search(text):
+                count[lang] = count.get(lang, 0) + 1
+        self.langs = sorted(count)
         if not self.langs:
             return
-        label = np.array([self.langs.index(x) for x in langs])
-        x = presence([cleaned(t)[:width] for t in texts])
-        each = max(1, landmarks // len(self.langs))
-        chosen = [i for k in range(len(self.langs)) for i in np.flatnonzero(label == k)[:each]]
-        self.marks = scaled(x[chosen])
-        value, vector = np.linalg.eigh(kernel(x[chosen], self.marks).astype(np.float64))
+        each, taken, marks = max(1, landmarks // len(self.langs)), dict.fromkeys(self.langs, 0), []
+        for text, lang in rows():
+            if _LETTER.search(text) and taken[lang] < each:
+                windows = windows_of(cleaned(text), width)
+                marks.append(windows[len(windows) // 2])
+                taken[lang] += 1
+        chosen = presence(marks)
+        self.marks = scaled(chosen)
+        value, vector = np.linalg.eigh(kernel(chosen, self.marks).astype(np.float64))
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
-        features = np.hstack((kernel(x, self.marks) @ root, np.ones((len(x), 1))))
-        target = np.where(label[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
-        weight = 1 / np.bincount(label)[label]  # each language as much as another
-        gram = features.T @ (features * weight[:, None])
-        solved = np.linalg.solve(gram + ridge * np.eye(len(gram)), features.T @ (target * weight[:, None]))
+        size = root.shape[1] + 1
+        gram, right = np.zeros((size, size)), np.zeros((size, len(self.langs)))
+        for text, lang in rows():
+            if not _LETTER.search(text):
+                continue
+            windows = windows_of(cleaned(text), width)
+            weight = 1 / (count[lang] * len(windows))  # each language as much as another, and each text in it
+            target = np.where(np.array(self.langs) == lang, 1.0, -1.0)
+            for i in range(0, len(windows), batch):
+                x = self.features(windows[i : i + batch], root)
+                gram += weight * x.T @ x
+                right += weight * np.outer(x.sum(axis=0), target)
+        solved = np.linalg.solve(gram + ridge * np.eye(size), right)
         self.weights, self.bias = (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
 
+    def features(self, windows: list[str], root: np.ndarray) -> np.ndarray:
+        """The windows in the Nyström space, and a constant."""
+        return np.hstack((kernel(presence(windows), self.marks) @ root, np.ones((len(windows), 1))))
+
     def scores(self, texts: list[str | None], batch: int = 64) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
@@ -110,22 +132,21 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, windows: int = 3, landmarks: int = 64, ridge: float = 1e-3, width: int = 2000) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, landmarks: int = 64, ridge: float = 1e-3, width: int = 2000) -> Model:
     """Learns from labelled rows: a bounded sample of them."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return Model([], [], landmarks, ridge, width)
+        return Model(lambda: iter(()), landmarks, ridge, width)
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (1 << 30) * 2 * per_language // n))])
     few = rows.filter(spread <= F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
-    span = F.greatest(F.char_length("text") - width, F.lit(0))
-    places = F.array_distinct(F.array(*[F.floor(span * i / max(1, windows - 1)).cast("int") for i in range(windows)]))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    least = few.select("lang", "id", F.transform(places, lambda p: F.substring("text", p + 1, F.lit(width))).alias("parts")).withColumn("n", place)
-    sample = least.filter(F.col("n") <= per_language).orderBy("n", "lang").select("lang", F.explode("parts").alias("part")).collect()
-    sample = [r for r in sample if _LETTER.search(r["part"])]
-    return Model([r["part"] for r in sample], [r["lang"] for r in sample], landmarks, ridge, width)
+    sample = cut(few.withColumn("n", place).filter(F.col("n") <= per_language), "language-sample")
+    held = sample.orderBy("n", "lang").select("text", "lang")
+    model = Model(lambda: ((r[0], r[1]) for r in held.toLocalIterator()), landmarks, ridge, width)
+    discard(sample)
+    return model
 
 
 @own_names
