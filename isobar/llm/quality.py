@@ -6,7 +6,8 @@ The expected grade and the probability of at least `accept` follow for any text,
 
 Training takes up to `most_rated` rated rows, those of least hashed id: a bounded sample, the only bound; it is fitted
 on the driver from hashed features. Features that fewer than `least_docs` of them have, or that are spread over the grades as chance
-would have it (a z-score under `least_z`), have no weight. Prediction reads
+would have it (a z-score under `least_z`), have no weight; they are told by counts over the cluster and never reach the driver,
+so long texts don't fill it. Prediction reads
 whole texts. Null text counts as empty, and an empty text has the score 0. Rated ids that occur again count once, with
 their least grade. Without two grades to learn from every row is selected, with probability 1. Repeated rows score
 alike; an empty table gives an empty result. Input columns named like an added one are replaced.
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, own_names, table, without
+from .common import add_columns, cut, discard, own_names, table, without
 
 ADDED = ["expected_grade", "tail_prob", "selected"]
 TABLE = 1 << 18
@@ -50,66 +51,66 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def telling(counts: dict[int, np.ndarray], least_docs: int, least_z: float) -> np.ndarray:
+    """Which features are in enough texts, and in more or fewer of those above some grade than chance would have. counts: of
+    each grade, in order, the number of texts with each feature, and after them the number of texts."""
+    grades = sorted(counts)
+    n = sum(int(counts[g][-1]) for g in grades)
+    seen, most = sum(counts[g][:-1] for g in grades), np.zeros(TABLE)
+    share = seen / max(n, 1)
+    for k in range(1, len(grades)):
+        up, n_up = sum(counts[g][:-1] for g in grades[k:]), sum(int(counts[g][-1]) for g in grades[k:])
+        spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * n_up * (n - n_up) / n)
+        most = np.maximum(most, np.abs(up - share * n_up) / spread)
+    return (seen >= least_docs) & (most >= least_z)
+
+
+def likelihood(score: np.ndarray, y: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood of grades y (0, 1 ...), and its slopes by each score and by each threshold."""
+    edge = np.concatenate(([-np.inf], cuts, [np.inf]))
+    upper, lower = logistic(edge[y + 1] - score), logistic(edge[y] - score)
+    inside = np.maximum(upper - lower, 1e-9)
+    up, low = upper * (1 - upper) / inside, lower * (1 - lower) / inside
+    by_cut = (np.bincount(y, -up, len(cuts) + 1)[:-1] + np.bincount(y, low, len(cuts) + 1)[1:]) / len(y)
+    return float(-np.log(inside).mean()), (up - low) / len(y), by_cut
+
+
 class Model:
-    def __init__(self, ids: list[np.ndarray], grades: list[int], least_docs: int = 8, least_z: float = 5.0, rounds: int = 200, decay: float = 1e-3):
+    """ids: each rated text's table places, of useful features alone."""
+
+    def __init__(self, ids: list[np.ndarray], grades: list[int], rounds: int = 200, decay: float = 1e-3):
         self.grades = sorted(set(grades))
         self.weights = np.zeros(TABLE, np.float32)
         self.thresholds = np.zeros(0)
         if len(self.grades) < 2:
             return
         y = np.array([self.grades.index(g) for g in grades])
-        useful = self._telling(ids, y, least_docs, least_z)
-        number = np.where(useful, np.cumsum(useful) - 1, -1)
-        rows = [number[i][number[i] >= 0] for i in ids]
-        flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        useful, flat = np.unique(np.concatenate(ids), return_inverse=True)
+        of = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
         share = np.bincount(y, minlength=len(self.grades)) / len(y)
         below = np.clip(np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
         cuts = np.log(below / (1 - below))
-        w, n = np.zeros(int(number.max()) + 1), len(y)
+        w, n = np.zeros(len(useful)), len(y)
         state = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(cuts)), np.zeros(len(cuts))]
-        edge = np.concatenate(([-np.inf], cuts, [np.inf]))
         for t in range(1, rounds + 1):
             pace = 0.1 if 3 * t < 2 * rounds else 0.02
-            score = np.bincount(of, w[flat], n)
-            edge[1:-1] = cuts
-            upper, lower = logistic(edge[y + 1] - score), logistic(edge[y] - score)
-            inside = np.maximum(upper - lower, 1e-9)
-            up, low = upper * (1 - upper) / inside, lower * (1 - lower) / inside
-            slope = (up - low) / n  # of the loss by the score
+            _, slope, by_cut = likelihood(np.bincount(of, w[flat], n), y, cuts)
             by_w = np.bincount(flat, slope[of], len(w)) + decay * w
-            by_cut = (np.bincount(y, -up, len(cuts) + 1)[:-1] + np.bincount(y, low, len(cuts) + 1)[1:]) / n
             for x, g, k in ((w, by_w, 0), (cuts, by_cut, 2)):
                 state[k] += 0.1 * (g - state[k])
                 state[k + 1] += 0.01 * (g * g - state[k + 1])
                 x -= pace * (state[k] / (1 - 0.9**t)) / (np.sqrt(state[k + 1] / (1 - 0.99**t)) + 1e-7)
             cuts.sort()
-        self.weights[np.flatnonzero(number >= 0)] = w
+        self.weights[useful] = w
         self.thresholds = cuts
 
-    @staticmethod
-    def _telling(ids: list[np.ndarray], y: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
-        """Which features are in enough texts, and in more or fewer of those above some grade than chance would have."""
-        n, seen, up = len(ids), np.zeros(TABLE), np.zeros((int(y.max()), TABLE))
-        for i in range(0, n, 500):  # in parts, for the driver's memory
-            flat = np.concatenate(ids[i : i + 500])
-            grade = np.repeat(y[i : i + 500], [len(x) for x in ids[i : i + 500]])
-            seen += np.bincount(flat, minlength=TABLE)
-            for k in range(len(up)):
-                up[k] += np.bincount(flat[grade > k], minlength=TABLE)
-        most, share = np.zeros(TABLE), seen / n
-        for k in range(len(up)):
-            n_up = (y > k).sum()
-            spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * n_up * (n - n_up) / n)
-            most = np.maximum(most, np.abs(up[k] - share * n_up) / spread)
-        return (seen >= least_docs) & (most >= least_z)
-
     def above(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) for all but the last grade, a row for each text."""
         score = np.array([self.weights[features(t)].sum(dtype=np.float64) for t in texts])
         return logistic(score[:, None] - self.thresholds[None, :])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rated: int = 12_000, **options) -> Model:
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rated: int = 12_000, least_docs: int = 8, least_z: float = 5.0, **options) -> Model:
     """ratings: id_col and an integer grade."""
     rated = ratings.select(F.col(id_col), F.col("grade").cast("int")).dropna().groupBy(id_col).agg(F.min("grade").alias("grade"))
     total = rated.count()
@@ -119,10 +120,23 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     sample = rated.filter(part).orderBy(F.xxhash64(id_col), id_col).limit(most_rated)
     texts = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
     found = add_columns(texts, lambda rows: {"ids": [features(t) for t in rows.column(text_col).to_pylist()]}, {"ids": "array<int>"}, (text_col,), text_col)
-    arrow = found.select("ids", "grade").toArrow()
-    flat = arrow.column("ids").combine_chunks()
-    sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
-    ids = np.split(flat.flatten().to_numpy(), np.cumsum(sizes)[:-1]) if len(sizes) else []
+    found = cut(found.select("ids", "grade"), "quality-features")
+    size = found.groupBy("grade").count().collect()  # a row a grade
+    counts = {r["grade"]: np.zeros(TABLE + 1, np.int64) for r in size}
+    for r in size:
+        counts[r["grade"]][-1] = r["count"]
+    have = found.select("grade", F.explode("ids").alias("id")).groupBy("grade", "id").count().filter(F.col("id").isNotNull())
+    have = have.toArrow()  # at most a table for each grade
+    for g in counts:
+        here = have.column("grade").to_numpy() == g
+        counts[g][have.column("id").to_numpy()[here]] = have.column("count").to_numpy()[here]
+    sent = docs.sparkSession.sparkContext.broadcast(telling(counts, least_docs, least_z))
+    keep = lambda rows: {"kept": [x[sent.value[x]] for x in (np.array(i, np.int32) for i in rows.column("ids").to_pylist())]}
+    arrow = add_columns(found, keep, {"kept": "array<int>"}, ("ids",), "ids").toArrow()
+    discard(found)
+    flat = arrow.column("kept").combine_chunks()
+    lengths = flat.value_lengths().to_numpy(zero_copy_only=False)
+    ids = np.split(flat.flatten().to_numpy(), np.cumsum(lengths)[:-1]) if len(lengths) else []
     return Model(ids, arrow.column("grade").to_pylist(), **options)
 
 

@@ -90,7 +90,7 @@ INTERNAL = "__maybe __key __fp __g __chunk __k1 __k2 __slot __bits __c __n __nod
     [
         exact_dedup.mark_duplicates, sharding.shard, simhash.near_duplicates, similar.similar, similar.drop_similar, line_dedup.drop_repeated_runs, substring_dedup.remove_repeats,
         lambda d: decontaminate.mark_contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id = 16")),
-        lambda d: quality.grade(d, quality.Model([], []), 2), lambda d: language_id.identify(d, language_id.Model([], [], 4, 0.1, 100)),
+        lambda d: quality.grade(d, quality.Model([], []), 2), lambda d: language_id.identify(d, language_id.Model(lambda: iter(()), 4, 0.1, 100)),
     ],
 )
 def test_clashing_names(docs, operator):
@@ -489,6 +489,80 @@ def test_language_id(spark, docs, empty):
     assert sum(len(w) for w in language_id.windows_of(long, 2000)) == len(long)
 
 
+def grams(window, n):
+    """The table places of a window's n-grams, one at a time."""
+    out = set()
+    for i in range(len(window) - n + 1):
+        h = ord(window[i + n - 1]) if n == 1 else 0
+        if n > 1:
+            h = ord(window[i])
+            for c in window[i + 1 : i + n]:
+                h = (h * 0x01000193 + ord(c)) % 2**32
+        out.add((h * 0x9E3779B1) % 2**32 >> 32 - language_id.TABLES[n - 1].bit_length() + 1)
+    return out
+
+
+def test_language_kernel():
+    windows = ["der hund", "the dog and the cat", "ab", "x", "日本語 ab é" * 9, "le chat et le chien " * 30]
+    found = language_id.kernel(language_id.presence(windows), language_id.scaled(language_id.presence(windows[:3])))
+    for i, a in enumerate(windows):
+        for j, b in enumerate(windows[:3]):
+            parts = [(grams(a, n), grams(b, n)) for n in range(1, 5)]
+            want = sum(len(p & q) / (max(len(p), 1) * max(len(q), 1)) ** 0.5 for p, q in parts) / 4
+            assert abs(found[i, j] - want) < 1e-5
+
+
+def test_language_model_by_hand():
+    r = random.Random(3)
+    say = {"a": "lorem ipsum dolor sit amet".split(), "b": "der die das und nicht".split(), "c": "the of and to in".split()}
+    rows = [(" ".join(r.choice(v) for _ in range(r.randint(5, 300))), k) for k, v in say.items() for _ in range(12)]
+    model = language_id.Model(lambda: iter(rows), 9, 1e-3, 200)
+    windows = [(w, lang, 1 / (12 * len(ws))) for t, lang in rows for ws in [language_id.windows_of(language_id.cleaned(t), 200)] for w in ws]
+    assert len(windows) > 60  # all of long texts
+    k = language_id.kernel(language_id.presence([w for w, *_ in windows]), model.marks)
+    for i, lang in enumerate("abc"):  # the solution is where the weighted ridge loss has no slope
+        score = k @ model.weights[:, i] + model.bias[i]
+        residual = np.array([x * (s - (1 if y == lang else -1)) for s, (_, y, x) in zip(score, windows)])
+        assert abs(residual.sum() + 1e-3 * model.bias[i]) < 1e-3
+    assert [x for x, _ in model.scores([t for t, _ in rows])] == [y for _, y in rows]
+    long = model.scores([" ".join(say["b"] * 3000) + " the of and", None, "", "12 34"])
+    assert long[0][0] == "b" and long[1:] == [("und", 0.0)] * 3
+
+
+def test_quality_likelihood():
+    r = np.random.default_rng(2)
+    score, y, cuts = r.normal(size=40), r.integers(0, 3, 40), np.array([-0.4, 0.9])
+    loss, by_score, by_cut = quality.likelihood(score, y, cuts)
+    p = lambda k, s: 1 / (1 + np.exp(s - cuts[k])) if 0 <= k < 2 else float(k >= 2)
+    assert abs(loss + np.mean([np.log(p(k, s) - p(k - 1, s)) for s, k in zip(score, y)])) < 1e-12
+    for i in range(40):
+        step = np.zeros(40)
+        step[i] = 1e-6
+        slope = (quality.likelihood(score + step, y, cuts)[0] - quality.likelihood(score - step, y, cuts)[0]) / 2e-6
+        assert abs(slope - by_score[i]) < 1e-7
+    for k in range(2):
+        step = np.zeros(2)
+        step[k] = 1e-6
+        assert abs((quality.likelihood(score, y, cuts + step)[0] - quality.likelihood(score, y, cuts - step)[0]) / 2e-6 - by_cut[k]) < 1e-7
+
+
+def test_quality_by_hand(spark):
+    r = random.Random(9)
+    words = {0: "vile awful filth".split(), 1: "click buy now".split(), 2: "water river stone".split()}
+    rows = [(i, " ".join(r.choice(words[i % 3] + ["and", "the"]) for _ in range(40)), i % 3) for i in range(300)]
+    rows += [(1000 + i, None, 2) for i in range(3)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = quality.fit(base.select("doc_id", "text"), base.select("doc_id", "grade"))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "water river " * 60_000), (4, "vile filth " * 60_000), (5, "\x00 ☃"), (3, "water river " * 60_000)], "doc_id long, text string")
+    for x in quality.grade(odd, model, 2).collect():
+        score = sum(float(model.weights[i]) for i in quality.features(x.text))
+        above = [1 / (1 + np.exp(c - score)) for c in model.thresholds]
+        assert abs(x.tail_prob - above[1]) < 1e-5 and abs(x.expected_grade - sum(above)) < 1e-5 and x.selected == (above[1] >= 0.5)
+        assert x.text or score == 0
+    kept = {x.doc_id for x in quality.grade(odd, model, 2).filter("selected").collect()}
+    assert 3 in kept and 4 not in kept
+
+
 def test_quality(spark, docs, empty):
     base = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 5000")
     rated = quality.ratings(spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).filter("doc_id < 5000")
