@@ -82,27 +82,32 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.n
 
 def _induce_each(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
     """The same for many small buckets, a suffix at a time."""
+    n = len(s)
     size = np.bincount(s, minlength=k)
     ends = np.cumsum(size)
-    symbol, is_small = s.tolist(), small.tobytes()
-    order, tail, head = [-1] * len(s), ends.tolist(), (ends - size).tolist()
-    for i in seeds[::-1].tolist():
-        c = symbol[i]
-        tail[c] -= 1
-        order[tail[c]] = i
-    for at in range(len(s)):  # the list grows ahead of the place
-        i = order[at] - 1
-        if i >= 0 and not is_small[i]:
-            c = symbol[i]
-            order[head[c]] = i
-            head[c] += 1
-    tail = ends.tolist()
-    for at in range(len(s) - 1, -1, -1):
-        i = order[at] - 1
-        if i >= 0 and is_small[i]:
-            c = symbol[i]
-            tail[c] -= 1
-            order[tail[c]] = i
+    # of the suffix one before each: its bucket if it is larger, or smaller, than the next one, else -1; and -1 for a place not filled yet
+    before_large, before_small = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    before_large[1:n] = np.where(small[:-1], -1, s[:-1])
+    before_small[1:n] = np.where(small[:-1], s[:-1], -1)
+    order = np.full(n, n, np.int64)
+    by_bucket = np.argsort(s[seeds], kind="stable")
+    of = s[seeds][by_bucket]
+    last = np.searchsorted(of, of, side="right")
+    order[ends[of] - last + np.arange(len(of))] = seeds[by_bucket]  # at the ends of their buckets
+    order, head, bucket = order.tolist(), (ends - size).tolist(), before_large.tolist()
+    for i in order:  # the list is filled ahead of the place
+        c = bucket[i]
+        if c >= 0:
+            at = head[c]
+            order[at] = i - 1
+            head[c] = at + 1
+    tail, bucket = ends.tolist(), before_small.tolist()
+    for i in reversed(order):
+        c = bucket[i]
+        if c >= 0:
+            at = tail[c] - 1
+            order[at] = i - 1
+            tail[c] = at
     return np.array(order, np.int64)
 
 

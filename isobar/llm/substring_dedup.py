@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, bloom_probe, bloom_words, cut, own_names, release, small_batches, table, without
+from .common import add_columns, attach, bloom_probe, bloom_words, cut, discard, own_names, release, small_batches, table, without
 from .sais import permuted_prefixes, suffix_array
 
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -189,46 +189,76 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.lit(x), F.col(id_col), F.col(text_col)).alias(n) for x, n in ((1, "k1"), (2, "k2"))]
 
 
-def _met_again(rows: DataFrame, met: DataFrame, hot: DataFrame, length: int, width: int) -> DataFrame:
-    """met with the stretches of hot anchors parted."""
-    parts = _parted(_with_bytes(rows, hot, length, "substring-hot"), length, width).dropDuplicates(["anchor", "same", "shift"])
-    parts = cut(parts, "substring-parted")
-    anchors = hot.select("anchor").distinct()
-    old = met.join(anchors, "anchor", "left_anti")
-    new = met.withColumnRenamed("starts", "all_starts").join(parts, ["anchor", "same"])
-    new = new.select(F.col("anchor2").alias("anchor"), "k1", "k2", (F.col("first") + F.col("shift")).alias("first"), "starts", F.col("same2").alias("same"))
-    return cut(old.unionByName(new), "substring-met")
+def _counted_kinds(classes: DataFrame) -> DataFrame:
+    """classes(anchor, same, n, one) of anchors with several, with kinds: how many the anchor has."""
+    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    return cut(attach(classes, kinds, "anchor", "kinds", classes.count()).filter("kinds IS NOT NULL").select("anchor", "same", "n", "kinds", "one.*"), "substring-wanted")
+
+
+def _classes(stretches: DataFrame, n: Column) -> DataFrame:
+    one = F.min(F.struct("k1", "k2", "first", "starts")).alias("one")
+    return cut(stretches.groupBy("anchor", "same").agg(F.sum(n).alias("n"), one), "substring-each")
+
+
+def _found(rows: DataFrame, classes: DataFrame, length: int, most: int, shard_bytes: int) -> DataFrame:
+    """(anchor, same, n, found): of each class of equal stretches that has any, the ranges of its repeated starts.
+
+    Only classes of hot anchors are parted, round by round; a part knows the class it came from and where in it it begins.
+    """
+    wanted = _counted_kinds(classes)
+    whole = F.array(F.lit(0), F.col("one.starts")).alias("found")
+    out = classes.filter("n > 1").select("anchor", "same", whole)
+    judging = [wanted.filter(F.col("kinds") <= most)]
+    hot, width = wanted.filter(F.col("kinds") > most), 1 << (length - PIECE).bit_length()
+    origin = hot.select("anchor", "same", "n", "k1", "k2", "first", F.col("anchor").alias("anchor0"), F.col("same").alias("same0"), F.lit(0).alias("shift0"))
+    origins, tables = [], [wanted]
+    while width > 1 and hot.head(1):
+        width //= 2
+        parts = cut(_parted(_with_bytes(rows, hot, length, "substring-hot"), length, width).dropDuplicates(["anchor", "same", "shift"]), "substring-parted")
+        pieces = origin.join(parts, ["anchor", "same"]).select(
+            F.col("anchor2").alias("anchor"), F.col("same2").alias("same"), "n", "k1", "k2", (F.col("first") + F.col("shift")).alias("first"), "starts", "anchor0", "same0", (F.col("shift0") + F.col("shift")).alias("shift0")
+        )
+        pieces = cut(pieces, "substring-pieces")
+        each = _classes(pieces, F.col("n"))
+        wanted = _counted_kinds(each)
+        origins.append((pieces, each))
+        judging.append(wanted.filter(F.col("kinds") <= most))
+        hot = wanted.filter(F.col("kinds") > most)
+        origin = pieces.drop("starts").join(hot.select("anchor", "same"), ["anchor", "same"])
+        tables.append(wanted)
+        discard(parts)
+        release(rows.sparkSession)
+    every = judging[0]
+    for x in judging[1:]:
+        every = every.unionByName(x)
+    judged = _judged(_with_bytes(rows, every, length, "substring-parts"), length, shard_bytes)
+    judged = cut(judged.join(every.filter("n = 1").select("anchor", "same"), ["anchor", "same"]), "substring-judged")
+    out = out.unionByName(judged)
+    for pieces, each in origins:
+        again = each.filter("n > 1").select("anchor", "same", whole).unionByName(judged)
+        back = pieces.select("anchor", "same", "anchor0", "same0", "shift0").join(again, ["anchor", "same"])
+        out = out.unionByName(back.select(F.col("anchor0").alias("anchor"), F.col("same0").alias("same"), F.transform("found", lambda x: x + F.col("shift0")).alias("found")))
+    one = out.filter(F.size("found") > 0).groupBy("anchor", "same").agg(F.flatten(F.collect_list("found")).alias("found"))
+    one = cut(classes.select("anchor", "same", "n").join(one, ["anchor", "same"]), "substring-found")
+    discard(judged, *tables, *(x for pair in origins for x in pair))
+    return one
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, most: int, shard_bytes: int) -> DataFrame:
     """(k1, k2, spans): the repeated strings' first and end bytes in a row, unmerged."""
     rows = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text"))
     every = cut(_stretch_rows(rows.filter(F.octet_length("text") >= length), length), "substring-stretches")
-    again = every.groupBy("anchor").count().filter("count > 1").select("anchor")
-    again = cut(again, "substring-anchors")
-    met = cut(every.join(again, "anchor"), "substring-met")
-    release(docs.sparkSession)
-    sample = F.min(F.struct("k1", "k2", "first", "starts")).alias("one")
-    width = 1 << (length - PIECE).bit_length()
-    while True:
-        each = cut(met.groupBy("anchor", "same").agg(F.count("*").alias("n"), sample), "substring-each")
-        kinds = each.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-        wanted = cut(each.join(kinds, "anchor").select("anchor", "same", "n", "kinds", "one.*"), "substring-wanted")
-        hot = wanted.filter(F.col("kinds") > most)
-        if width == 1 or not hot.head(1):
-            break
-        width //= 2
-        met = _met_again(rows, met, hot, length, width)
-    single = each.filter("n > 1").select("anchor", "same", F.array(F.lit(0), F.col("one.starts")).alias("found"))
-    judged = _judged(_with_bytes(rows, wanted, length, "substring-parts"), length, shard_bytes)
+    again = cut(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "substring-anchors")
+    met = cut(attach(every, again, "anchor", "n", every.count()).filter("n IS NOT NULL").drop("n"), "substring-met")
+    discard(every, again)
     release(docs.sparkSession)
-    once = each.filter("n = 1").select("anchor", "same")
-    found = single.unionByName(judged.join(once, ["anchor", "same"]))
-    found = cut(found.filter(F.size("found") > 0), "substring-found")
-    spans = met.join(found, ["anchor", "same"]).select(
-        "k1", "k2", F.transform("found", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, length - 1).otherwise(0)).alias("s")
-    )
-    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    classes = _classes(met, F.lit(1))
+    found = _found(rows, classes, length, most, shard_bytes)
+    shifted = F.transform("found", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, length - 1).otherwise(0)).alias("s")
+    spans = attach(met, found, ["anchor", "same"], "n", met.count()).filter("found IS NOT NULL").select("k1", "k2", shifted)
+    spans = cut(spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans")), "substring-spans")
+    discard(met, classes, found)
+    return spans
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,11 +286,11 @@ def _removed(rows, text_col: str) -> dict:
 
 @own_names
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 500, shard_bytes: int = 1 << 20, keep_text: bool = True,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most: int = 1000, shard_bytes: int = 1 << 20, keep_text: bool = True,
 ) -> DataFrame:
     """All rows and columns of docs with n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept_text (binary: a cut may part a character)."""
     rows = without(docs, [*ADDED, "kept_text"])
-    spans = cut(repeated_spans(rows, id_col, text_col, length, most, shard_bytes), "substring-spans")
+    spans = repeated_spans(rows, id_col, text_col, length, most, shard_bytes)
     release(docs.sparkSession)
     keyed = rows.select("*", *[k.alias(f"__{n}") for k, n in zip(row_keys(id_col, text_col), ("k1", "k2"), strict=True)])
     maybe = bloom_probe(keyed, bloom_words(spans, "k1"), "__k1", keep=True)
