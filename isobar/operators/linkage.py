@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 
 def kth_match(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id): the k-th row of a key on the left with the k-th of the same key on the right."""
@@ -28,6 +31,9 @@ def tiered(left: DataFrame, right: DataFrame, tiers: list[tuple[str, list[str],
     found: list[DataFrame] = []
     for name, keys, how in tiers:
         pairs = (kth_match if how == "kth" else unique_match)(left, right, keys, left_id, right_id).withColumn("tier", F.lit(name))
+        path = f"{tables.shared_dir(left.sparkSession)}/tier-{uuid.uuid4().hex}"
+        pairs.write.parquet(path)  # each tier is found once, though those after it and the result use it
+        pairs = left.sparkSession.read.schema(pairs.schema).parquet(path)
         found.append(pairs)
         left, right = left.join(pairs, left_id, "left_anti"), right.join(pairs, right_id, "left_anti")
     return reduce(DataFrame.unionByName, found)
@@ -67,3 +73,26 @@ def proves_one_to_one(pairs: DataFrame, left_id: str, right_id: str) -> DataFram
     """One row: pairs, distinct ids of either side, and whether all three are equal."""
     one = pairs.agg(F.count("*").alias("pairs"), F.countDistinct(left_id).alias("left_ids"), F.countDistinct(right_id).alias("right_ids"))
     return one.withColumn("one_to_one", (F.col("pairs") == F.col("left_ids")) & (F.col("pairs") == F.col("right_ids")))
+
+
+def merged(left: DataFrame, right: DataFrame, keys: list[str], how: str, validate: str) -> DataFrame:
+    """A join that refuses keys which are there more than once on a side that `validate` (1:1, 1:m or m:1) says is unique."""
+    for name, df, side in (("left", left, validate[0]), ("right", right, validate[-1])):
+        if side == "1":
+            again = df.groupBy(*keys).count().filter("count > 1").head(1)
+            if again:
+                raise ValueError(f"the {name} side has a key more than once: {tuple(again[0][k] for k in keys)}")
+    return left.join(right, keys, how)
+
+
+def linked_enough(left: DataFrame, pairs: DataFrame, left_id: str, least: float = 0.995) -> DataFrame:
+    """pairs, if at least such a share of the left rows is linked; otherwise an error that tells the share."""
+    rows, linked = left.count(), pairs.select(left_id).distinct().count()
+    if linked < least * rows:
+        raise ValueError(f"{linked} of {rows} rows are linked, under {least:.1%}")
+    return pairs
+
+
+def without_entities(df: DataFrame, entity: str, excluded: DataFrame) -> DataFrame:
+    """df less the entities of a parameter table; null entities stay."""
+    return df.join(excluded.select(F.col(entity)).distinct(), entity, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, series
 
 
 def regressor(kind: str, features: list[str], label: str, weight: str | None = None) -> Pipeline:
@@ -73,10 +73,11 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     """The growth of the mean squared error when a feature's values are dealt anew, in hashed order."""
     from pyspark.sql import Window
 
+    parts_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
     base = model.transform(df).agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0]
     plain, out = Window.partitionBy("__part").orderBy(row_id), []
     mixed = Window.partitionBy("__part").orderBy(F.md5(F.col(row_id).cast("string")))
-    parts = df.withColumn("__part", F.pmod(F.xxhash64(row_id), F.lit(64)))
+    parts = df.withColumn("__part", F.pmod(F.xxhash64(row_id), F.lit(max(64, parts_n))))
     for f in features:
         a = parts.withColumn("__k", F.row_number().over(plain)).drop(f)
         b = parts.withColumn("__k", F.row_number().over(mixed)).select("__part", "__k", f)
@@ -111,22 +112,48 @@ def polynomial_fits(df: DataFrame, x: str, y: str, degrees: list[int]) -> DataFr
     return out
 
 
-def knn_support(df: DataFrame, train: DataFrame, features: list[str], row_id: str, k: int, most_train: int, quantile: float) -> DataFrame:
-    """(row_id, distance, supported): the mean distance to the k nearest of a bounded, hashed training sample in
-    standardised features, against the sample's own quantile of it. The sample, `most_train` rows, is what is broadcast."""
-    part = train.orderBy(F.md5(F.col(row_id).cast("string")), row_id).limit(most_train).select(*features).toPandas().to_numpy(float)
-    mean, spread = part.mean(axis=0), part.std(axis=0) + 1e-12
-    part = (part - mean) / spread
-
-    def nearest(x: np.ndarray, own: int) -> np.ndarray:
-        d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ part.T + (part * part).sum(axis=1)[None, :], 0))
-        return np.sort(np.partition(d, k, axis=1)[:, : k + 1], axis=1)[:, own : k + own].mean(axis=1)
-
-    limit = float(np.quantile(nearest(part, 1), quantile))
-
-    @F.pandas_udf("double")
-    def distance(rows: pd.DataFrame) -> pd.Series:
-        x = (rows.to_numpy(float) - mean) / spread
-        return pd.Series(np.concatenate([nearest(x[i : i + 2000], 0) for i in range(0, len(x), 2000)]) if len(x) else [])
-
-    return df.select(row_id, distance(F.struct(*features)).alias("distance")).withColumn("supported", F.col("distance") <= limit)
+def nearest_distances(df: DataFrame, train: DataFrame, group: str, features: list[str], row_id: str, k: int, own: bool, block: int = 20_000) -> DataFrame:
+    """(group, row_id, distance): the mean distance to the k nearest training rows of the same group, all of them; own: df is
+    the training table itself, and a row is not its own neighbour.
+
+    Rows of either side are dealt to blocks of about `block`; each pair of blocks meets in one task, which keeps the k nearest
+    of each row, and those of all training blocks are merged after. No sample, no index, no limit on a group's rows.
+    """
+    sizes = train.groupBy(F.col(group).alias("g")).agg(F.ceil(F.count("*") / block).cast("int").alias("t_blocks"))
+    sizes = sizes.join(df.groupBy(F.col(group).alias("g")).agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks")), "g")
+    slim = lambda x: x.select(F.col(group).alias("g"), F.col(row_id).alias("row_id"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).join(sizes, "g")
+    at = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = [f"f{i}" for i in range(len(features))]
+    asked = slim(df).withColumn("q", at("q_blocks")).withColumn("t", upto("t_blocks")).select("g", "q", "t", "row_id", *names)
+    given = slim(train).withColumn("t", at("t_blocks")).withColumn("q", upto("q_blocks")).select("g", "q", "t", "row_id", *names)
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, out = a[names].to_numpy(float), b[names].to_numpy(float), []
+        ids = b["row_id"].to_numpy()
+        for i in range(0, len(x), 1000):
+            part = x[i : i + 1000]
+            d = np.maximum((part * part).sum(axis=1)[:, None] - 2 * part @ y.T + (y * y).sum(axis=1)[None, :], 0)
+            if own:
+                d[a["row_id"].to_numpy()[i : i + 1000, None] == ids[None, :]] = np.inf
+            d = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] else d
+            out += np.sqrt(d).tolist()
+        return pd.DataFrame({"g": a["g"], "row_id": a["row_id"], "near": out})
+
+    kind = df.schema[group].dataType.simpleString()
+    found = asked.groupBy("g", "q", "t").cogroup(given.groupBy("g", "q", "t")).applyInPandas(nearest, f"g {kind}, row_id long, near array<double>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    mean = F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best")
+    each = found.groupBy("g", "row_id").agg(best.alias("best"))
+    return each.select(F.col("g").alias(group), F.col("row_id").alias(row_id), F.when(F.size("best") > 0, mean).alias("distance"))
+
+
+def knn_support(df: DataFrame, train: DataFrame, group: str, features: list[str], row_id: str, k: int, quantile: float) -> DataFrame:
+    """(group, row_id, distance, supported): the mean distance to the k nearest training rows of the group in features
+    standardised within it, against the quantile of the training rows' own such distances. All training rows are searched."""
+    stats = train.groupBy(F.col(group).alias("__g")).agg(*[f(F.col(x)).alias(f"{n}{i}") for i, x in enumerate(features) for n, f in (("__m", F.avg), ("__s", F.stddev_pop))])
+    scaled = lambda x: x.join(stats, F.col(group) == F.col("__g")).select(group, row_id, *[((F.col(f) - F.col(f"__m{i}")) / (F.col(f"__s{i}") + 1e-12)).alias(f) for i, f in enumerate(features)])
+    own = nearest_distances(scaled(train), scaled(train), group, features, row_id, k, True)
+    limit = series.quantiles(own, [group], "distance", [quantile]).select(F.col(group).alias("__g"), F.col("q0").alias("__limit"))
+    found = nearest_distances(scaled(df), scaled(train), group, features, row_id, k, False)
+    return found.join(limit, F.col(group) == F.col("__g"), "left").select(group, row_id, "distance", (F.col("distance") <= F.col("__limit")).alias("supported"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import grid, ml
+from ..sources import tables
 from ..streaming import streams
 from .base import r, table
 
@@ -16,10 +17,13 @@ FEATURES = ["quantity", "size", "discount", "tax"]
 def _rows(spark, sf):
     x, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     j = x.join(p, x.l_partkey == p.p_partkey)
-    return j.select(
+    rows = j.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").alias("quantity"),
         F.col("p_size").cast("double").alias("size"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_extendedprice") / 1000).alias("price"),
     )
+    path = f"{tables.shared_dir(spark)}/model-rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # joined once, however many models are fitted
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _halves(spark, sf):
@@ -64,8 +68,9 @@ def polynomial_fits(spark, sf):
 
 
 def knn_support(spark, sf):
+    """The test rows' distances to all training rows of their kind."""
     train, test = _halves(spark, sf)
-    return ml.knn_support(test, train, FEATURES, "row_id", 5, 2000, 0.95)
+    return ml.knn_support(test, train, "kind", FEATURES, "row_id", 5, 0.95)
 
 
 def box_partition(spark, sf):
@@ -75,7 +80,7 @@ def box_partition(spark, sf):
 
 
 def _drained(stream, mode="append"):
-    return streams.drained(stream, f"s{uuid.uuid4().hex}", mode)
+    return streams.drained(stream, f"{tables.shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}", mode, ["entity"])
 
 
 def stream_tumbling(spark, sf):

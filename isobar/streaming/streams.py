@@ -48,9 +48,15 @@ def jump_sessions(stream: DataFrame, ts: str, entity: str, value: str, gap_minut
     return rows.groupBy("entity").applyInPandasWithState(step, "entity long, sessions long, rows long", "last_ts double, last_value double, number long, n long", "update", "NoTimeout")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now, through the stream, as a table."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """All that is there now, through the stream and written to `path`, as a table; in update mode the last row of each key."""
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("__batch", F.lit(batch)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    found = stream.sparkSession.read.option("recursiveFileLookup", True).schema(stream.withColumn("__batch", F.lit(0)).schema).parquet(f"{path}/rows")
+    if mode != "update":
+        return found.drop("__batch")
+    rest = [c for c in stream.columns if c not in (keys or [])]
+    return found.groupBy(*(keys or [])).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(*(keys or []), "r.*")
