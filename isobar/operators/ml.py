@@ -157,3 +157,30 @@ def knn_support(df: DataFrame, train: DataFrame, group: str, features: list[str]
     limit = series.quantiles(own, [group], "distance", [quantile]).select(F.col(group).alias("__g"), F.col("q0").alias("__limit"))
     found = nearest_distances(scaled(df), scaled(train), group, features, row_id, k, False)
     return found.join(limit, F.col(group) == F.col("__g"), "left").select(group, row_id, "distance", (F.col("distance") <= F.col("__limit")).alias("supported"))
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """The model, written and read again: an artefact that later runs load."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def pooled_and_own(train: DataFrame, test: DataFrame, group: str, kind: str, features: list[str], label: str) -> DataFrame:
+    """The metrics on each group of a model fitted on all rows, and of one fitted on the group's; groups are few (a fit each)."""
+    out = metrics.by_metrics(scored(train, test, kind, features, label).withColumn("fit", F.lit("pooled")), [group, "fit"], label, "prediction")
+    for (g,) in sorted(tuple(r) for r in train.select(group).distinct().collect()):
+        own = scored(train.filter(F.col(group) == g), test.filter(F.col(group) == g), kind, features, label).withColumn("fit", F.lit("own"))
+        out = out.unionByName(metrics.by_metrics(own, [group, "fit"], label, "prediction"))
+    return out
+
+
+def partial_dependence_2d(df: DataFrame, first: str, second: str, grid: tuple[list[float], list[float]], predict, least: int) -> DataFrame:
+    """(first, second, support, mean_prediction): predict(rows with both set) over all rows at each point of a grid; points with
+    fewer than `least` rows within half a step have no value. The grid is expanded within the row; rows combine before the shuffle."""
+    half = [(g[1] - g[0]) / 2 for g in grid]
+    points = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a in grid[0] for b in grid[1]])
+    each = df.withColumns({"__a0": F.col(first), "__b0": F.col(second)}).drop(first, second).withColumn("__p", F.explode(points))
+    rows = predict(each.withColumns({first: F.col("__p.a"), second: F.col("__p.b")}))
+    near = (F.abs(F.col("__a0") - F.col(first)) <= half[0]) & (F.abs(F.col("__b0") - F.col(second)) <= half[1])
+    out = rows.groupBy(first, second).agg(F.sum(near.cast("long")).alias("support"), F.avg("prediction").alias("__m"))
+    return out.select(first, second, "support", F.when(F.col("support") >= least, F.col("__m")).alias("mean_prediction"))

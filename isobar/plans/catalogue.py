@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import inference, models, more, relations, scenarios, series, standard
+from . import inference, models, more, programs, relations, scenarios, series, standard
 
-QUERIES: dict = series.QUERIES | relations.QUERIES | scenarios.QUERIES | more.QUERIES | models.QUERIES | standard.QUERIES | inference.QUERIES
-SQL: dict = series.SQL | relations.SQL | scenarios.SQL | more.SQL | standard.SQL | inference.SQL | models.SQL
+QUERIES: dict = series.QUERIES | relations.QUERIES | scenarios.QUERIES | more.QUERIES | models.QUERIES | standard.QUERIES | inference.QUERIES | programs.QUERIES
+SQL: dict = series.SQL | relations.SQL | scenarios.SQL | more.SQL | standard.SQL | inference.SQL | programs.SQL | models.SQL

@@ -104,6 +104,9 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
+    "tile_components": """WITH RECURSIVE t AS (SELECT DISTINCT floor((((event_id * 37) % 1200) / 10.0::DOUBLE - 60.0 + 90) / 10)::INT AS a, floor((((event_id * 91) % 3600) / 10.0::DOUBLE - 180.0 + 180) / 10)::INT AS b FROM events),
+      r AS (SELECT a, b, a * 1000 + b AS origin FROM t UNION SELECT t.a, t.b, r.origin FROM r JOIN t ON abs(t.a - r.a) <= 1 AND abs(t.b - r.b) <= 1)
+      SELECT component, count(*) AS tiles FROM (SELECT a, b, min(origin)::INTEGER AS component FROM r GROUP BY a, b) GROUP BY component""",
     "stream_tumbling": "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS window_start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts)::TIMESTAMP AS session_start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM n GROUP BY user_id, s""",

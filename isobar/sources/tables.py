@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import unicodedata
 
@@ -92,3 +93,63 @@ def file_lineage(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, length, modificationTime and sha256 of each file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+
+
+def inferred_csv(spark: SparkSession, path: str, share: float = 0.1) -> DataFrame:
+    """All columns with types inferred from a share of the rows; the rest is read by them, and what doesn't fit is null."""
+    _, sep = sniffed(spark, path)
+    options = {"header": True, "sep": sep}
+    schema = spark.read.options(**options, inferSchema=True, samplingRatio=share).csv(path).schema
+    return spark.read.options(**options, mode="PERMISSIVE").schema(schema).csv(path)
+
+
+def write_ordered_csv(df: DataFrame, path: str, order: list[str], sep: str = ",") -> None:
+    """CSV files that follow each other in the order: sorted by ranges, each range a file, so no task has all rows."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+
+
+def append_checked(df: DataFrame, path: str) -> None:
+    """Appends to a Parquet table if names and types are those that it has; otherwise an error, and nothing is written."""
+    spark = df.sparkSession
+    if _exists(spark, path):
+        there = spark.read.parquet(path).schema
+        if [(f.name, f.dataType) for f in there] != [(f.name, f.dataType) for f in df.schema]:
+            raise ValueError(f"{path} has {there.simpleString()}, not {df.schema.simpleString()}")
+    df.write.mode("append").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def input_signature(spark: SparkSession, paths: list[str]) -> str:
+    """A SHA-256 of the names, sizes and times of all files under the paths."""
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith((".", "_")):
+                found.append(f"{f.getPath().getName()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def run_step(spark: SparkSession, path: str, version: str, inputs: list[str], build, force: bool = False) -> tuple[DataFrame, bool]:
+    """The step's table and whether it was built now: a table that the same version made from the same inputs is taken as it is.
+
+    The state is written after the table, so that a step which broke off is built again.
+    """
+    state = [(version, input_signature(spark, inputs))]
+    if not force and _exists(spark, f"{path}/state/_SUCCESS") and [tuple(r) for r in spark.read.json(f"{path}/state").select("version", "inputs").collect()] == state:
+        return spark.read.parquet(f"{path}/rows"), False
+    build().write.mode("overwrite").parquet(f"{path}/rows")
+    spark.createDataFrame(state, "version string, inputs string").write.mode("overwrite").json(f"{path}/state")
+    return spark.read.parquet(f"{path}/rows"), True
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON object a line; Spark's commit leaves no half-written table."""
+    df.write.mode("overwrite").json(path)

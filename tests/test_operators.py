@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar.functions import columns as c
-from isobar.operators import grid, linkage, quality, scenarios, series, splits
+from isobar.operators import grid, linkage, ml, quality, scenarios, series, splits
 from isobar.sources import tables
 from isobar.streaming import streams
 
@@ -95,12 +95,12 @@ def test_sources(spark, tmp_path):
     assert tables.file_lineage(spark, str(tmp_path), "*.csv").first().sha256
 
 
-def test_stream_equals_batch(spark):
+def test_stream_equals_batch(spark, tmp_path):
     path = "/root/testdata/sf0.001/events.parquet"
-    live = streams.drained(streams.tumbling(streams.source(spark, path), "ts", "event_type", "value", "1 day", "1 hour"), "tumbling_test", "complete")
+    live = streams.drained(streams.tumbling(streams.source(spark, path), "ts", "event_type", "value", "1 day", "1 hour"), str(tmp_path / "a"), "complete")
     still = spark.read.parquet(path).groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").start.alias("window_start")).agg(F.count("*").alias("n"))
     assert {tuple(r)[:3] for r in live.select("event_type", "window_start", "n").collect()} == {tuple(r) for r in still.collect()}
-    jumps = streams.drained(streams.jump_sessions(streams.source(spark, path), "ts", "user_id", "value", 1440.0, 1e9), "jumps_test", "update")
+    jumps = streams.drained(streams.jump_sessions(streams.source(spark, path), "ts", "user_id", "value", 1440.0, 1e9), str(tmp_path / "b"), "update", ["entity"])
     batch = series.gap_sessions(spark.read.parquet(path), ["user_id"], "ts", "event_id", 1440.0).groupBy("user_id").agg(F.max("session_no"))
     assert {(r.entity, r.sessions) for r in jumps.collect()} == {tuple(r) for r in batch.collect()}
 
@@ -121,3 +121,112 @@ def test_tile_queries_read_all_events(spark):
     assert QUERIES["tile_components"](spark, sf).agg(F.sum("tiles")).first()[0] == t.select(place("lat", -90), place("lon", -180)).distinct().count()
     tiles = t.selectExpr("event_id * 37 % 18 AS a", "event_id * 91 % 36 AS b").filter("a % 5 > 0").distinct()
     assert QUERIES["box_partition"](spark, sf).agg(F.sum("cells")).first()[0] == tiles.count()
+
+
+def test_steps_and_sinks(spark, tmp_path):
+    rows = spark.range(10).withColumn("v", F.col("id") * 2)
+    rows.write.parquet(str(tmp_path / "in"))
+    step = lambda version, force=False: tables.run_step(spark, str(tmp_path / "step"), version, [str(tmp_path / "in")], lambda: rows.filter("v > 4"), force)
+    assert [step("1")[1], step("1")[1], step("2")[1], step("2", True)[1]] == [True, False, True, True]
+    rows.write.mode("append").parquet(str(tmp_path / "in"))
+    assert step("2")[1] and step("2")[0].count() == 7
+    tables.append_checked(rows, str(tmp_path / "out"))
+    tables.append_checked(rows, str(tmp_path / "out"))
+    with pytest.raises(ValueError):
+        tables.append_checked(rows.withColumnRenamed("v", "w"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+    tables.write_ordered_csv(rows, str(tmp_path / "csv"), ["id"])
+    assert tables.inferred_csv(spark, str(tmp_path / "csv"), 1.0).agg(F.sum("v")).first()[0] == 90
+
+
+def test_refusing_joins(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (3, 30)], "k int, w int")
+    assert linkage.merged(left, right, ["k"], "left", "m:1").count() == 3
+    with pytest.raises(ValueError):
+        linkage.merged(left, right, ["k"], "left", "1:1")
+    pairs = spark.createDataFrame([(1, 10)], "k int, w int")
+    assert linkage.linked_enough(right, pairs, "k", 0.5).count() == 1
+    with pytest.raises(ValueError):
+        linkage.linked_enough(right, pairs, "k")
+    assert linkage.without_entities(left, "k", right).count() == 2
+
+
+def test_ranges_agree_with_plain_windows(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 7 else None, float((k * 37) % 50) if k % 11 else None, k) for k in range(400)], "g int, v double, id int")
+    found = series.running(rows, ["g"], ["v", "id"], {"n": F.lit(1)}, parts=9).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.g, []).append(((r.v is not None, r.v or 0, r.id), r.n))
+    for members in groups.values():
+        assert [n for _, n in sorted(members)] == list(range(1, len(members) + 1))
+    import statistics as plain
+
+    for r in series.quantiles(rows, ["g"], "v", [0.25, 0.5, 1.0]).collect():
+        values = sorted(x.v for x in rows.collect() if x.g == r.g and x.v is not None)
+        at = 0.25 * (len(values) - 1)
+        low = values[int(at)]
+        want = low + (values[min(int(at) + 1, len(values) - 1)] - low) * (at - int(at))
+        assert (r.n, r.q2) == (len(values), values[-1]) and abs(r.q0 - want) < 1e-9 and abs(r.q1 - plain.median(values)) < 1e-9
+    assert series.quantiles(rows.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_nearest_by_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    row = lambda i: (i, "ab"[i % 2], float(r.randrange(30)), float(r.randrange(30)))
+    train, test = [row(i) for i in range(160)], [row(1000 + i) for i in range(40)]
+    make = lambda x: spark.createDataFrame(x, "row_id long, kind string, x double, y double")
+    for own, asked in ((False, test), (True, train)):
+        found = {q.row_id: q.distance for q in ml.nearest_distances(make(asked), make(train), "kind", ["x", "y"], "row_id", 3, own, block=25).collect()}
+        for i, kind, x, y in asked:
+            best = sorted(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for j, k, a, b in train if k == kind and not (own and j == i))[:3]
+            assert abs(found[i] - sum(best) / 3) < 1e-6
+    support = ml.knn_support(make(test), make(train), "kind", ["x", "y"], "row_id", 3, 0.9)
+    assert support.count() == 40 and support.filter("supported").count() > 20
+
+
+def test_balanced_folds_by_hand(spark):
+    rows = spark.createDataFrame([("g", e) for e, n in (("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 1)) for _ in range(n)], "g string, e string")
+    folds = {r.e: r.fold for r in splits.balanced_folds(rows, ["g"], "e", 2).collect()}
+    assert folds == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+
+
+def test_linear_models_by_hand(spark):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    x = g.normal(size=(240, 2)) * [1.0, 3.0]
+    y = 2 + 1.5 * x[:, 0] - 0.3 * x[:, 1] + 0.2 * x[:, 0] ** 2 + g.normal(size=240) * 0.1
+    kind = [["a", "b", "c"][i % 3] for i in range(240)]
+    rows = spark.createDataFrame([(i, kind[i], float(x[i, 0]), float(x[i, 1]), float(y[i]), i % 4) for i in range(240)], "id long, kind string, u double, v double, y double, fold int")
+    fit = lambda a, b: np.linalg.lstsq(np.column_stack([np.ones(len(a)), a]), b, rcond=None)[0]
+    said = lambda w, a: np.column_stack([np.ones(len(a)), a]) @ w
+    rmse = lambda e: float(np.sqrt(np.mean(e**2)))
+    for r in ml.leave_one_out(rows, "kind", "linear", ["u", "v"], "y").collect():
+        own = np.array([k == r.kind for k in kind])
+        assert abs(r.rmse - rmse(y[own] - said(fit(x[~own], y[~own]), x[own]))) < 1e-5
+    test = np.arange(240) % 5 == 0
+    split = rows.filter("id % 5 > 0"), rows.filter("id % 5 = 0")
+    for r in ml.ablation(*split, "linear", {"first": ["u"], "second": ["v"]}, "y").collect():
+        part = x[:, {"none": [0, 1], "first": [1], "second": [0]}[r.dropped]]
+        assert abs(r.rmse - rmse(y[test] - said(fit(part[~test], y[~test]), part[test]))) < 1e-5
+    for r in ml.polynomial_fits(rows, "u", "y", [1, 2, 3]).collect():
+        e = y - np.polyval(np.polyfit(x[:, 0], y, r.degree), x[:, 0])
+        assert abs(r.r2 - (1 - (e @ e) / (240 * y.var()))) < 1e-6 and abs(r.aic - (240 * np.log(e @ e / 240) + 2 * (r.degree + 1))) < 1e-3
+    for r in ml.ridge_search(rows, ["u", "v"], "y", "fold", [0.0, 0.5]).collect():
+        sse = 0.0
+        for k in range(4):
+            own = np.arange(240) % 4 == k
+            a, b = x[~own], y[~own]
+            scale, spread = a.std(axis=0, ddof=1), b.std(ddof=1)
+            z = (a - a.mean(axis=0)) / scale
+            w = np.linalg.solve(z.T @ z / len(z) + r.alpha / spread * np.eye(2), z.T @ (b - b.mean()) / len(z)) / scale
+            sse += float(((y[own] - (b.mean() + (x[own] - a.mean(axis=0)) @ w)) ** 2).sum())
+        assert abs(r.mse - sse / 240) < (1e-6 if r.alpha == 0 else 0.02 * r.mse)
+    own = {(r.kind, r.fit): r.rmse for r in ml.pooled_and_own(*split, "kind", "linear", ["u"], "y").collect()}
+    for k in "abc":
+        here = np.array([q == k for q in kind])
+        assert abs(own[k, "own"] - rmse(y[test & here] - said(fit(x[~test & here][:, :1], y[~test & here]), x[test & here][:, :1]))) < 1e-5
+        assert abs(own[k, "pooled"] - rmse(y[test & here] - said(fit(x[~test][:, :1], y[~test]), x[test & here][:, :1]))) < 1e-5
