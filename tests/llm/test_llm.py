@@ -577,6 +577,12 @@ def test_quality(spark, docs, empty):
     assert quality.grade(docs, none, 2).filter("selected").count() == docs.count()
 
 
+def ids_of_all(text, kept={}):
+    if not kept:
+        kept["e"] = tokens.Encoder(tokens.read_spec(tokens.public("word_bpe_49k.json"))).tokenizer
+    return np.array(kept["e"].encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+
+
 def test_pipeline_stages(spark, tmp_path):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline as c
@@ -584,12 +590,45 @@ def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    windows = {}
+    for i, t in items:
+        w = decontaminate.words_of(t)
+        n = min(13, len(w))
+        for a in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[a : a + n]), i)
+    sizes = {len(w) for w in windows}
+    model = quality.fitted(spark, sf)
     for k, (name, stage) in enumerate(c.STAGES):
         out = stage(spark, docs, sf)
         if k + 1 < len(c.STAGES):
             assert out.columns == columns
         out.write.parquet(str(tmp_path / name))
         before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name == "quality_classifier":
+            score = lambda t: sum(float(model.weights[i]) for i in quality.features(t))
+            near = lambda t: abs(score(t) - model.thresholds[-1]) < 1e-4
+            kept = {r.doc_id for r in docs.collect()}
+            assert all((r.doc_id in kept) == (score(r.text) >= model.thresholds[-1]) or near(r.text) for r in before.collect())
+        if name == "benchmark_decontamination":
+            kept = {r.doc_id for r in docs.collect()}
+            for r in before.collect():
+                w, hit = decontaminate.words_of(r.text), set()
+                for n in sizes:
+                    for p in range(len(w) - n + 1):
+                        if tuple(w[p : p + n]) in windows:
+                            hit |= set(range(p, p + n))
+                assert (r.doc_id in kept) == (not hit or 20 * len(hit) < len(w))
+        if name == "best_fit_packing":
+            want = Counter()
+            for r in before.collect():
+                ids = ids_of_all(r.text)
+                for i, a in enumerate(range(0, len(ids), 2048)):
+                    want[r.doc_id, i, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())] += 1
+            assert rows_of(docs, "doc_id", "piece", "start", "length", "ids_crc32") == want
+            packed = docs.toPandas().sort_values("offset")
+            assert all(x.length.sum() <= 2048 and (x.length.cumsum() - x.length).tolist() == x.offset.tolist() for _, x in packed.groupby("sequence_id"))
+            assert packed.sequence_id.nunique() <= 1.01 * packed.length.sum() / 2048 + 1
         if name == "exact_dedup":
             want = before.selectExpr("lower(text) AS t").distinct().count()
             assert docs.count() == want
