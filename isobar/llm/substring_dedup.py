@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, attach, bloom_probe, bloom_words, cut, discard, own_names, release, small_batches, table, without
+from .common import add_columns, attach, bloom_probe, bloom_words, cut, discard, own_names, release, small_batches, table, tidy, without
 from .sais import permuted_prefixes, suffix_array
 
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -114,13 +114,39 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
+def with_partners(anchors: list[int], parts: list[bytes], length: int) -> np.ndarray:
+    """Which stretches may share a string with another one of their anchor.
+
+    A shared string has half of what it holds beside the anchor's piece, or more, on one side of it; so those bytes, on one
+    side at least, are the same in both stretches. Others can't share any.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    sizes = np.array([len(p) for p in parts], np.int64)
+    base, width, side = np.cumsum(sizes) - sizes, length - PIECE + 1, (length - PIECE) // 2
+    h = piece_hashes(np.frombuffer(b"".join(parts), np.uint8))
+    at = np.concatenate([h[base[i : i + 2000, None] + np.arange(width)].argmin(axis=1) for i in range(0, len(base), 2000)]).tolist()
+    seen: dict[tuple, int] = {}
+    sides = []
+    for a, p, k in zip(anchors, parts, at, strict=True):
+        both = []
+        if k >= side:
+            both.append((a, 0, xxh3_64_intdigest(p[k - side : k])))
+        if k + PIECE + side <= len(p):
+            both.append((a, 1, xxh3_64_intdigest(p[k + PIECE : k + PIECE + side])))
+        for x in both:
+            seen[x] = seen.get(x, 0) + 1
+        sides.append(both)
+    return np.array([any(seen[x] > 1 for x in both) for both in sides])
+
+
 def _ranges(flags: np.ndarray) -> list[int]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
     return edge.tolist()
 
 
 def _judged(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(anchor, same, found): the repeated starts of each different stretch as start, end, ...; parts are dealt by anchor and sorted."""
+    """(anchor, same, found): the repeated starts of each different stretch that has any, as start, end, ...; parts are dealt by anchor and sorted."""
 
     def run(batches):
         import pyarrow as pa
@@ -130,9 +156,11 @@ def _judged(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
         def done():
             keys = list(held)
-            marks = repeated_starts([held[k] for k in keys], length)
+            keys = [k for k, x in zip(keys, with_partners([a for a, _ in keys], list(held.values()), length), strict=True) if x]
+            found = [(k, _ranges(m)) for k, m in zip(keys, repeated_starts([held[k] for k in keys], length) if keys else (), strict=True)]
+            found = [(k, r) for k, r in found if r]
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([_ranges(m) for m in marks], pa.list_(pa.int32()))],
+                [pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int32()))],
                 ["anchor", "same", "found"],
             )
 
@@ -147,6 +175,7 @@ def _judged(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 last = a
         if held:
             yield done()
+        tidy()
 
     return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, same long, found array<int>")
 
