@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -31,9 +30,7 @@ def tiered(left: DataFrame, right: DataFrame, tiers: list[tuple[str, list[str],
     found: list[DataFrame] = []
     for name, keys, how in tiers:
         pairs = (kth_match if how == "kth" else unique_match)(left, right, keys, left_id, right_id).withColumn("tier", F.lit(name))
-        path = f"{tables.shared_dir(left.sparkSession)}/tier-{uuid.uuid4().hex}"
-        pairs.write.parquet(path)  # each tier is found once, though those after it and the result use it
-        pairs = left.sparkSession.read.schema(pairs.schema).parquet(path)
+        pairs = tables.written(pairs, "tier")  # each tier is found once, though those after it and the result use it
         found.append(pairs)
         left, right = left.join(pairs, left_id, "left_anti"), right.join(pairs, right_id, "left_anti")
     return reduce(DataFrame.unionByName, found)

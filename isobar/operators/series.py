@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..sources.tables import written
 
 
 def ordered(entity: list[str], order: list[str]) -> Window:
@@ -143,8 +146,12 @@ def range_parts(df: DataFrame, order: str, name: str, parts: int | None = None)
     n = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = _place(df, order)
     bounds = df.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
-    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
-    return df.withColumn(name, F.coalesce(F.size(F.filter(edges, lambda e: e < at)), F.lit(0)))
+    edges = sorted(set(bounds))
+    if len(edges) <= 64:  # compiled; a function over an array is not
+        number = reduce(lambda a, b: a + b, [F.coalesce((at > F.lit(float(e))).cast("int"), F.lit(0)) for e in edges], F.lit(0))
+    else:
+        number = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < at)), F.lit(0))
+    return df.withColumn(name, number)
 
 
 def running(df: DataFrame, group: list[str], order: list[str], measures: dict[str, Column], parts: int | None = None) -> DataFrame:
@@ -168,17 +175,21 @@ def running(df: DataFrame, group: list[str], order: list[str], measures: dict[st
 def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
     """Exact, interpolated quantiles q0, q1 ... of each group's values, nulls aside, and n, the number of values.
 
-    Different values are counted first; their running counts then tell which ones lie at a quantile, so neither a group's
-    values nor the different ones among them are held in one task.
+    Different values are counted first; counts by ranges tell which range each quantile lies in, and only its values are
+    sorted, so neither a group's values nor the different ones among them are held in one task.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    upto = running(counted, group, ["__v"], {"__upto": F.col("__n")})
-    total = counted.groupBy(*group).agg(F.sum("__n").alias("n"))
-    same = F.lit(True)
-    for i, g in enumerate(group):
-        total = total.withColumnRenamed(g, f"__t{i}")
-        same = same & F.col(g).eqNullSafe(F.col(f"__t{i}"))
-    both = upto.join(total, same) if group else upto.join(F.broadcast(total))  # without groups, one row
+    counted = written(df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__n")), "values")
+    dealt = range_parts(counted, "__v", "__range")
+    cells = dealt.groupBy(*group, "__range").agg(F.sum("__n").alias("__in"))  # a row for each range of a group
+    whole, upto = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumns({"n": F.sum("__in").over(whole), "__end": F.sum("__in").over(upto)}).withColumn("__start", F.col("__end") - F.col("__in"))
+    ends = [f((F.col("n") - 1) * q) for q in at for f in (F.floor, F.ceil)]
+    needed = cells.filter(reduce(lambda a, b: a | b, [(F.col("__start") <= e) & (e < F.col("__end")) for e in ends]))
+    needed = needed.select(*[F.col(g).alias(f"__t{i}") for i, g in enumerate(group)], F.col("__range").alias("__r"), "n", "__start")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__t{i}")) for i, g in enumerate(group)], F.col("__range") == F.col("__r"))
+    both = dealt.join(needed, same)  # only ranges that a quantile lies in
+    within = Window.partitionBy(*group, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__upto", F.col("__start") + F.sum("__n").over(within))
     first = F.col("__upto") - F.col("__n")
     found = []
     for i, q in enumerate(at):
@@ -187,4 +198,4 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> D
             found.append(F.max(F.when((first <= end) & (end < F.col("__upto")), F.col("__v"))).alias(f"__{k}{i}"))
     out = both.groupBy(*group, "n").agg(*found)
     mixed = [F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)) for i, q in enumerate(at)]
-    return out.select(*group, "n", *[m.alias(f"q{i}") for i, m in enumerate(mixed)])
+    return written(out.select(*group, "n", *[m.alias(f"q{i}") for i, m in enumerate(mixed)]), "quantiles")  # a row a group

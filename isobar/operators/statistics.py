@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .series import range_parts, running
 
 
@@ -77,7 +78,7 @@ def overlap(df: DataFrame, group: str, first: str, second: str, value: str, low:
 
 def average_ranks(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Adds ranks where ties share their mean rank: running counts of different values, joined back."""
-    counted = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    counted = written(df.groupBy(*group, value).agg(F.count("*").alias("__n")), "values")
     ranked = running(counted, group, [value], {"__upto": F.col("__n")})
     rank = (F.col("__upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2).alias(name)
     keys = [*group, value]

@@ -21,9 +21,7 @@ def _rows(spark, sf):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").alias("quantity"),
         F.col("p_size").cast("double").alias("size"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_extendedprice") / 1000).alias("price"),
     )
-    path = f"{tables.shared_dir(spark)}/model-rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)  # joined once, however many models are fitted
-    return spark.read.schema(rows.schema).parquet(path)
+    return tables.written(rows, "model-rows")  # joined once, however many models are fitted
 
 
 def _halves(spark, sf):
