@@ -104,8 +104,9 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def box_partition(cells: DataFrame, least_fill: float) -> DataFrame:
-    """(box, south, north, west, east, cells): boxes over tiles, each split at its largest empty stretch while too little of it is filled.
+def box_partition(cells: DataFrame, least_fill: float, most_rows: int = 18, most_cols: int = 36) -> DataFrame:
+    """(box, south, north, west, east, cells): boxes over tiles, each split at its largest empty stretch, or else in the
+    middle, while too little of it is filled or it is higher or wider than allowed.
 
     Tiles number 648 at most, so their boxes are planned on the driver.
     """
@@ -118,12 +119,15 @@ def box_partition(cells: DataFrame, least_fill: float) -> DataFrame:
         rows, cols = sorted({a for a, _ in box}), sorted({b for _, b in box})
         full = (rows[-1] - rows[0] + 1) * (cols[-1] - cols[0] + 1)
         steps = [(b - a, axis, b) for axis, x in enumerate((rows, cols)) for a, b in zip(x, x[1:], strict=False)]
-        if len(box) >= least_fill * full or not steps:
+        high, wide = rows[-1] - rows[0] + 1, cols[-1] - cols[0] + 1
+        if (len(box) >= least_fill * full and high <= most_rows and wide <= most_cols) or not steps:
             out.append((len(out), rows[0], rows[-1], cols[0], cols[-1], len(box)))
             continue
         gap, axis, at = max(steps)
         if gap == 1:
-            axis = int(len(cols) > len(rows))
+            over = (high / most_rows, wide / most_cols)
+            axis = int(over[1] >= over[0]) if max(over) > 1 else int(len(cols) > len(rows))
+            axis = axis if len((rows, cols)[axis]) > 1 else 1 - axis
             line = cols if axis else rows
             at = line[len(line) // 2]
         todo += [[c for c in box if c[axis] < at], [c for c in box if c[axis] >= at]]

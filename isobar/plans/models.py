@@ -74,7 +74,7 @@ def knn_support(spark, sf):
 def box_partition(spark, sf):
     t = table(spark, sf, "events")
     tiles = t.select(((F.col("event_id") * 37) % 18).cast("int").alias("tile_row"), ((F.col("event_id") * 91) % 36).cast("int").alias("tile_col"))
-    return grid.box_partition(tiles.filter("tile_row % 5 > 0"), 0.6)
+    return grid.box_partition(tiles.filter("tile_row % 5 > 0"), 0.6, 4, 6)
 
 
 def _drained(stream, mode="append"):

@@ -109,7 +109,60 @@ def design_validation(spark, sf):
     return quality.checks(spark, [("paired_rows", n, rows, 0), ("unchanged_column", same, 0, 0), ("changed_rows", changed, n / 3, n / 100)])
 
 
-QUERIES = {f.__name__: f for f in (append_sink, step_state, text_sinks, raw_extract, routed_interpolation, pooled_and_own, dependence_2d, wave_localisation, add_back, design_validation)}
+def head_and_cross(spark, sf):
+    """Components along and across the heading, the speed's cube, and ratios."""
+    t = telemetry(spark, sf).select("event_id", "event_type", "value", F.radians(F.col("angle") - F.col("lon")).alias("rel"), (F.col("value") / 10).alias("speed"))
+    t = t.withColumns({"head": F.col("value") * F.cos("rel"), "across": F.col("value") * F.sin("rel"), "cube": F.col("speed") ** 3})
+    return t.groupBy("event_type").agg(r(F.avg("head"), 5).alias("head"), r(F.avg(F.abs("across")), 5).alias("across"), r(F.avg("cube"), 4).alias("cube"), r(F.avg(c.safe_divide("head", "speed")), 5).alias("head_by_speed"))
+
+
+def mode_fill(spark, sf):
+    """Missing static values from their entity's most frequent one, the smallest of several; conflicts are marked."""
+    x = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).alias("static"))
+    counts = x.filter("static IS NOT NULL").groupBy("o_custkey", "static").agg(F.count("*").alias("n"))
+    best = counts.groupBy("o_custkey").agg(F.min_by("static", F.struct(-F.col("n"), F.col("static"))).alias("mode"), F.count("*").alias("kinds"))
+    j = x.join(best, "o_custkey", "left")
+    source = c.first_of([("given", F.col("static").isNotNull()), ("mode", F.col("mode").isNotNull())], "missing")
+    return j.groupBy(source.alias("source"), F.coalesce(F.col("kinds") > 1, F.lit(False)).alias("conflict"), F.coalesce("static", "mode").alias("value")).agg(F.count("*").alias("n"))
+
+
+def tile_days(spark, sf):
+    """By month the different tiles, days, and pairs of them."""
+    t = telemetry(spark, sf).select(F.date_format("ts", "yyyy-MM").alias("month"), c.tile("lat", -90, 10, 18).alias("a"), c.tile("lon", -180, 10, 36).alias("b"), F.to_date("ts").alias("day"))
+    pairs = t.distinct()  # what is different is found once, not in sets on one task
+    one = lambda *keys: pairs.select("month", *keys).distinct().groupBy("month").agg(F.count("*").alias("_".join(keys)))
+    out = one("a", "b").join(one("day"), "month").join(one("a", "b", "day"), "month")
+    return out.select("month", F.col("a_b").alias("tiles"), F.col("day").alias("days"), F.col("a_b_day").alias("tile_days"))
+
+
+def quantile_bins(spark, sf):
+    """Bins between quantiles, equal edges taken once, and what they hold."""
+    x = _ships(spark, sf).select("kind", "wave", "speed")
+    q = series.quantiles(x, ["kind"], "wave", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    edges = F.array_distinct(F.array(*[F.round(f"q{i}", 9) for i in range(6)]))
+    j = x.join(q.select("kind", edges.alias("edges")), "kind")
+    at = F.greatest(F.size(F.filter("edges", lambda e: e < F.round("wave", 9))) - 1, F.lit(0))
+    return j.groupBy("kind", at.cast("int").alias("bin")).agg(F.count("*").alias("n"), r(F.min("wave")).alias("low"), r(F.max("wave")).alias("high"), r(F.avg("speed")).alias("mean_speed"))
+
+
+def duplicate_key_report(spark, sf):
+    """Of two tables' keys: rows, different keys, keys more than once, and rows with them."""
+    a = table(spark, sf, "lineitem").select(F.lit("lineitem").alias("side"), F.concat_ws("|", "l_partkey", "l_suppkey").alias("k"))
+    b = table(spark, sf, "orders").select(F.lit("orders").alias("side"), F.concat_ws("|", "o_custkey", "o_orderdate").alias("k"))
+    k = a.unionByName(b).groupBy("side", "k").agg(F.count("*").alias("n"))
+    again = F.when(F.col("n") > 1, F.col("n"))
+    return k.groupBy("side").agg(F.sum("n").alias("rows"), F.count("*").alias("keys"), F.count(again).alias("repeated"), F.coalesce(F.sum(again), F.lit(0)).alias("repeated_rows"))
+
+
+def stability_replay(spark, sf):
+    """Stability found anew with rows that an earlier rule took out let in: which rows change."""
+    t = telemetry(spark, sf)
+    run = lambda rows, name: series.stability(rows, ["user_id"], "ts", "event_id", "value", 1440.0, 3, 20.0).select("event_id", F.col("stable").alias(name))
+    both = run(t.filter("reading IS NOT NULL"), "before").join(run(t, "after"), "event_id", "full")
+    return both.groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (append_sink, step_state, text_sinks, raw_extract, routed_interpolation, pooled_and_own, dependence_2d, wave_localisation, add_back, design_validation, head_and_cross, mode_fill, tile_days, quantile_bins, duplicate_key_report, stability_replay)}
 
 _FIT = """t AS (SELECT * FROM y WHERE id % 5 > 0), p AS (SELECT regr_slope(draught, speed) AS s, regr_intercept(draught, speed) AS i FROM t), o AS (SELECT kind, regr_slope(draught, speed) AS s, regr_intercept(draught, speed) AS i FROM t GROUP BY kind),
 e AS (SELECT y.kind, 'pooled' AS fit, draught - (p.i + p.s * speed) AS e FROM y, p WHERE id % 5 = 0 UNION ALL SELECT y.kind, 'own', draught - (o.i + o.s * speed) FROM y JOIN o ON y.kind = o.kind WHERE id % 5 = 0)"""
@@ -129,6 +182,23 @@ m AS (SELECT s, w, count(*) FILTER (WHERE abs(speed - s) <= 1.5 AND abs(wave - w
 SELECT s AS speed, w AS wave, support, {rounded("CASE WHEN support >= 50 THEN v END")} AS mean_prediction FROM m""",
     "wave_localisation": f"""WITH {SHIPS}, t AS (SELECT *, CASE WHEN l_linenumber <= 2 THEN 'head' WHEN l_linenumber <= 5 THEN 'beam' ELSE 'stern' END AS sector, ntile(3) OVER (PARTITION BY kind ORDER BY wave, l_orderkey * 10 + l_linenumber) AS third FROM x)
 SELECT sector, kind, third, count(*) AS n, {rounded("100 * (avg(1 + pow(wave * 1.1::DOUBLE, 2) / 10) / avg(1 + pow(wave, 2) / 10) - 1)")} AS change_pct FROM t GROUP BY ALL""",
+    "head_and_cross": f"""WITH {TELEMETRY}, h AS (SELECT event_type, value * cos(radians(angle - lon)) AS head, value * sin(radians(angle - lon)) AS across, value / 10 AS speed FROM t)
+SELECT event_type, {rounded("avg(head)", 5)} AS head, {rounded("avg(abs(across))", 5)} AS across, {rounded("avg(speed * speed * speed)", 4)} AS cube, {rounded("avg(head / nullif(speed, 0))", 5)} AS head_by_speed FROM h GROUP BY 1""",
+    "mode_fill": """WITH x AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS static FROM orders), n AS (SELECT o_custkey, static, count(*) AS n FROM x WHERE static IS NOT NULL GROUP BY ALL),
+b AS (SELECT o_custkey, static AS mode, count(*) OVER (PARTITION BY o_custkey) AS kinds FROM n QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, static) = 1)
+SELECT CASE WHEN static IS NOT NULL THEN 'given' WHEN mode IS NOT NULL THEN 'mode' ELSE 'missing' END AS source, coalesce(kinds > 1, false) AS conflict, coalesce(static, mode) AS value, count(*) AS n FROM x LEFT JOIN b USING (o_custkey) GROUP BY ALL""",
+    "tile_days": f"""WITH {TELEMETRY}, d AS (SELECT DISTINCT strftime(ts, '%Y-%m') AS month, floor((lat + 90) / 10)::INT AS a, floor((lon + 180) / 10)::INT AS b, ts::DATE AS day FROM t)
+SELECT month, count(DISTINCT (a, b)) AS tiles, count(DISTINCT day) AS days, count(*) AS tile_days FROM d GROUP BY month""",
+    "quantile_bins": f"""WITH {SHIPS}, q AS (SELECT kind, list_distinct(list_transform(quantile_cont(wave, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]), lambda e: round(e, 9))) AS edges FROM x GROUP BY kind),
+j AS (SELECT x.kind, wave, speed, greatest(len(list_filter(edges, lambda e: e < round(wave, 9))) - 1, 0)::INTEGER AS bin FROM x JOIN q ON x.kind = q.kind)
+SELECT kind, bin, count(*) AS n, {rounded("min(wave)")} AS low, {rounded("max(wave)")} AS high, {rounded("avg(speed)")} AS mean_speed FROM j GROUP BY ALL""",
+    "duplicate_key_report": """WITH k AS (SELECT 'lineitem' AS side, l_partkey || '|' || l_suppkey AS k FROM lineitem UNION ALL SELECT 'orders', o_custkey || '|' || o_orderdate FROM orders), n AS (SELECT side, k, count(*) AS n FROM k GROUP BY ALL)
+SELECT side, sum(n)::BIGINT AS rows, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS repeated_rows FROM n GROUP BY side""",
+    "stability_replay": f"""WITH {TELEMETRY}, a AS (SELECT *, CASE WHEN {plans.G} IS NULL OR {plans.G} > 1440 THEN 1 ELSE 0 END AS s FROM t WHERE reading IS NOT NULL {plans.W}), b AS (SELECT *, CASE WHEN {plans.G} IS NULL OR {plans.G} > 1440 THEN 1 ELSE 0 END AS s FROM t {plans.W}),
+a2 AS (SELECT *, {plans.RUN} AS k FROM a), b2 AS (SELECT *, {plans.RUN} AS k FROM b),
+p AS (SELECT event_id, count(value) OVER v < 3 OR stddev_samp(value) OVER v <= 20 AS before FROM a2 WINDOW v AS (PARTITION BY user_id, k ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+q AS (SELECT event_id, count(value) OVER v < 3 OR stddev_samp(value) OVER v <= 20 AS after FROM b2 WINDOW v AS (PARTITION BY user_id, k ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT before, after, count(*) AS n FROM p FULL JOIN q USING (event_id) GROUP BY ALL""",
     "add_back": f"""WITH {SHIPS}, f AS (SELECT kind, coalesce(trim = 0, false) OR wave = 0 AS z, speed < 9 AS s, length IS NULL OR length <= 0 AS l FROM x)
 SELECT kind, CASE WHEN NOT z THEN 'kept' WHEN s THEN 'fails_slow' WHEN l THEN 'fails_length' ELSE 'added_back' END AS scope, count(*) AS n FROM f WHERE z OR NOT (s OR l) GROUP BY ALL""",
     "design_validation": """WITH b AS (SELECT o_orderkey, o_custkey, o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 1.01::DOUBLE ELSE 1.0::DOUBLE END AS o_totalprice FROM orders),

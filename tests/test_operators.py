@@ -230,3 +230,16 @@ def test_linear_models_by_hand(spark):
         here = np.array([q == k for q in kind])
         assert abs(own[k, "own"] - rmse(y[test & here] - said(fit(x[~test & here][:, :1], y[~test & here]), x[test & here][:, :1]))) < 1e-5
         assert abs(own[k, "pooled"] - rmse(y[test & here] - said(fit(x[~test][:, :1], y[~test]), x[test & here][:, :1]))) < 1e-5
+
+
+def test_boxes_cover_each_tile_once_within_limits(spark):
+    import random
+
+    r = random.Random(1)
+    tiles = {(r.randrange(18), r.randrange(36)) for _ in range(90)} | {(5, b) for b in range(30)}
+    boxes = grid.box_partition(spark.createDataFrame(sorted(tiles), "tile_row int, tile_col int"), 0.6, 3, 5).collect()
+    for x in boxes:
+        inside = [t for t in tiles if x.south <= t[0] <= x.north and x.west <= t[1] <= x.east]
+        size = (x.north - x.south + 1) * (x.east - x.west + 1)
+        assert x.north - x.south < 3 and x.east - x.west < 5 and len(inside) >= x.cells and (x.cells >= 0.6 * size or x.cells == 1)
+    assert sum(x.cells for x in boxes) == len(tiles)
