@@ -135,26 +135,28 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
     renamed = lambda df: df.select(F.col("node").alias("label"), F.col("label").alias("far"))
     left = cut(edges.select(*pair).filter("u < v").distinct(), f"{name}-edges")
+    files = max(8, left.count() // 100_000 + 1)  # all later tables are smaller than the edges
+    few = lambda df: df.coalesce(files)
     found = None
     while left.head(1):
         ends = left.select(F.col("u").alias("node"), F.col("u").alias("label")).unionByName(left.select(F.col("v").alias("node"), F.col("u").alias("label")))
-        point = cut(ends.groupBy("node").agg(F.min("label").alias("label")), f"{name}-points")
+        point = cut(few(ends.groupBy("node").agg(F.min("label").alias("label"))), f"{name}-points")
         while True:
             moved = (F.col("far") != F.col("label")).alias("moved")
-            after = cut(point.join(renamed(point), "label").select("node", F.col("far").alias("label"), moved), f"{name}-points")
+            after = cut(few(point.join(renamed(point), "label").select("node", F.col("far").alias("label"), moved)), f"{name}-points")
             discard(point)
             point = after
             if not point.filter("moved").head(1):
                 break
         as_u, as_v = (point.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("u", "v"))
         kept = left.join(as_u, "u").join(as_v, "v").filter("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
-        fewer = cut(kept.select(*pair).distinct(), f"{name}-edges")
+        fewer = cut(few(kept.select(*pair).distinct()), f"{name}-edges")
         discard(left)
         left = fewer
         if found is None:
             found = point
         else:
-            named = cut(found.join(renamed(point), "label", "left").select("node", F.coalesce("far", "label").alias("label")), f"{name}-labels")
+            named = cut(few(found.join(renamed(point), "label", "left").select("node", F.coalesce("far", "label").alias("label"))), f"{name}-labels")
             discard(found, point)
             found = named
     if found is None:
