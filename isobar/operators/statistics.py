@@ -18,12 +18,16 @@ def hashed_uniform(*parts: Column) -> Column:
 def cluster_bootstrap(clusters: DataFrame, number: str, sums: list[str], draws: int, statistic: Column, salt: str | None = None) -> DataFrame:
     """(draw, stat): clusters(number 0 to n - 1, sums) drawn n at a time with replacement; statistic is over the drawn sums.
 
-    draws * n rows for n clusters; the rows under the clusters are aggregated once and never resampled.
+    draws * n rows for n clusters; the rows under the clusters are aggregated once and never resampled. Draws are made from a range
+    of numbers, whose size the planner knows: rows exploded out of one row count as small, and would be broadcast.
     """
-    n = clusters.agg(F.count("*").alias("__n"))
-    slots = n.select("__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("__n", "draw", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("slot"))
-    picked = slots.withColumn(number, F.floor(hashed_uniform(*([F.lit(salt)] if salt else []), F.col("draw"), F.col("slot")) * F.col("__n")).cast("long"))
-    drawn = picked.join(clusters, number).groupBy("draw").agg(*[F.sum(s).alias(s) for s in sums])
+    spark = clusters.sparkSession
+    kept = written(clusters.select(number, *sums), "clusters")
+    n = kept.count()
+    slots = spark.range(0, draws * n, 1, max(spark.sparkContext.defaultParallelism, draws * n // 1_000_000 + 1))
+    slots = slots.select(F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
+    picked = slots.select("draw", F.floor(hashed_uniform(*([F.lit(salt)] if salt else []), F.col("draw"), F.col("slot")) * n).cast("long").alias(number))
+    drawn = picked.join(kept, number).groupBy("draw").agg(*[F.sum(s).alias(s) for s in sums])
     return drawn.select(F.col("draw").cast("long").alias("draw"), statistic.alias("stat"))
 
 
