@@ -141,17 +141,22 @@ def _place(df: DataFrame, column: str) -> Column:
 def range_parts(df: DataFrame, order: str, name: str, parts: int | None = None) -> DataFrame:
     """Adds the number of the range that a row's `order` is in: `parts` ranges of about equal rows, nulls in the first.
 
-    Bounds are approximate quantiles, found in a pass of their own; they bear on the ranges' sizes alone.
+    Bounds are approximate quantiles, found in a pass of their own; they bear on the ranges' sizes alone. A row finds its range by
+    binary search, in plain comparisons: they are compiled, and a join on the number can't lose the column that they are about,
+    as it does with a function over an array.
     """
     n = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = _place(df, order)
     bounds = df.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
     edges = sorted(set(bounds))
-    if len(edges) <= 64:  # compiled; a function over an array is not
-        number = reduce(lambda a, b: a + b, [F.coalesce((at > F.lit(float(e))).cast("int"), F.lit(0)) for e in edges], F.lit(0))
-    else:
-        number = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < at)), F.lit(0))
-    return df.withColumn(name, number)
+
+    def number(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("__place") > F.lit(float(edges[middle])), number(middle + 1, high)).otherwise(number(low, middle))
+
+    return df.withColumn("__place", at).withColumn(name, number(0, len(edges))).drop("__place")
 
 
 def running(df: DataFrame, group: list[str], order: list[str], measures: dict[str, Column], parts: int | None = None) -> DataFrame:
