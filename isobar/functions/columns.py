@@ -52,7 +52,8 @@ def wrap_360(angle: Column | str) -> Column:
 
 
 def wrap_180(angle: Column | str) -> Column:
-    return F.pmod(col(angle) + 180.0, F.lit(360.0)) - 180.0
+    """In [-180, 180), by two remainders as in SQL: one pmod keeps bits that SQL rounds off, and an edge at 45 degrees parts the two."""
+    return ((col(angle) + 180.0) % 360.0 + 360.0) % 360.0 - 180.0
 
 
 def circular_distance(a: Column | str, b: Column | str) -> Column:
