@@ -202,5 +202,9 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> D
         for k, end in (("a", F.floor(place)), ("b", F.ceil(place))):
             found.append(F.max(F.when((first <= end) & (end < F.col("__upto")), F.col("__v"))).alias(f"__{k}{i}"))
     out = both.groupBy(*group, "n").agg(*found)
-    mixed = [F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)) for i, q in enumerate(at)]
+    mixed = []
+    for i, q in enumerate(at):
+        a, b, place = F.col(f"__a{i}"), F.col(f"__b{i}"), (F.col("n") - 1) * q
+        d = place - F.floor(place)
+        mixed.append(F.when(d == 0, a).otherwise(c.fused(a, 1 - d, b * d)))  # to the last bit as in DuckDB: rows at a quantile compare as there
     return written(out.select(*group, "n", *[m.alias(f"q{i}") for i, m in enumerate(mixed)]), "quantiles")  # a row a group
